@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, warc
+from . import brown, langid, media, neardup, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": packing.op1_pack,
     "op2_warc": warc.op2_warc,
     "op3_media": media.op3_media,
+    "op5_ppm": langid.op5_ppm,
+    "op6_neardup": neardup.op6_neardup,
+    "op7_brown": brown.op7_brown,
+    "op9_quality": quality.op9_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality": quality.OP9_SQL}
