@@ -2,23 +2,61 @@
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents.
+
+Cases: null and empty texts are rejected by the quality rules. A document whose lines all repeat
+earlier ones goes with them. Rows with equal ids are one document to line dedup and
+near-dedup. An empty table gives an empty result at each stage. Further columns are kept until packing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lindero.llm import linededup, neardup, packing, pii, quality
 from lindero.llm.common import table, written
-from lindero.llm.packing import pack_documents
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.filter_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones, exactly or but for one edit."""
+    return _counted(linededup.dedup(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id_")), "left_semi")
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return _counted(pii.mask(docs, pii.trained(docs)))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the training sequences."""
+    return packing.pack_documents(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality", quality_rules),
+    ("lines", line_dedup),
+    ("near", near_dedup),
+    ("private", private_data),
+    ("packing", best_fit_packing),
+]
 
-#: SQL cannot express the pipeline; tests/llm holds it against a brute-force version.
+#: SQL cannot express the near-duplicate, private-data and packing stages; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
