@@ -13,10 +13,11 @@ minhashes the chance of that is under 2 * (1 - s**2)**8, 0.0006 at 0.8 and 0.000
 3. Candidates pass a sketch (one minimum in each of 128 bins of one hash, a byte each) that a linked
    pair fails with chance under a millionth, then are verified on their full sets.
 4. Links give components, by minimum labels and pointer jumping over written tables.
-5. Keys whose members are not yet one component are taken up again: within them, pairs of members of
-   different components that pass the sketch are verified too. So a link whose ends share a table
-   is found even if neither end links to the smallest member. The sketches of such a key are compared
-   in blocks of BLOCK members; only pairs that pass become rows.
+5. Keys whose members are not yet one component are taken up again, with their members' full sets:
+   pairs of members that are not yet connected are compared by sketch and, where that passes, by
+   their sets. So a link whose ends share a table is found even if neither end links to the smallest
+   member. Each pair is compared in the first table that it shares. Only links that connect become
+   rows. A key of more than BLOCK members is dealt out as pairs of blocks.
 
 No bucket is cut or skipped. Texts are shingled where they are read; for verification only documents
 of candidate pairs are read again.
@@ -40,7 +41,7 @@ from .common import buffer_of, drop_written, hash_spans, lowered, mixed, slices,
 SIDE, WIDTH, BINS = 8, 2, 128
 #: Share of agreeing bins, of those filled in either sketch, that a candidate needs: for a threshold t, t less five deviations of 128 bins.
 SLACK = 0.18
-BLOCK = 1024
+BLOCK = 4096
 WORDS = 5
 
 _RNG = np.random.default_rng(20240229)
@@ -202,44 +203,82 @@ def labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels, ids.rep == labels.id, "left").withColumn("component", F.coalesce("label", "rep")).drop("id", "label")
 
 
-def cross_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of members (key, rep, component, sketch) of one key and different components whose sketches agree."""
+def cross_links(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (l, r) between members of one key that were of different components.
+
+    members: key, t (its table), lo, hi (the pair of blocks), block, rep, component, a, b, sketch, shingles.
+    A pair is compared in the first table that its ends share, and no more once they are connected.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows of one key and pair of blocks."""
+        held: list[pa.RecordBatch] = []
+        mark = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi")])
+            ends = [*(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), n]
+            at = 0
+            for end in ends:
+                if mark is not None and mark != tuple(key[:, at]):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                mark = tuple(key[:, at])
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield pa.Table.from_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[tuple]:
-            """Blocks of one key's members, and whether a key begins."""
-            held, key = [], None
-            for batch in batches:
-                for k, rep, comp, sk in zip(*(batch.column(c).to_pylist() for c in ("key", "rep", "component", "sketch"))):
-                    if k != key or len(held) == BLOCK:
-                        if held:
-                            yield key, held
-                        held = []
-                    key = k
-                    held.append((rep, comp, sk))
-            if held:
-                yield key, held
-
-        last, before = None, []
-        for key, held in blocks():
-            rep, comp = (np.array([x[c] for x in held], np.int64) for c in (0, 1))
-            sk = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(-1, BINS)
-            before = before if key == last else []
-            last = key
-            before.append((rep, comp, sk))
-            for rep2, comp2, sk2 in before:
-                found = []
-                for k in range(len(rep)):
-                    other = np.flatnonzero((comp2 != comp[k]) & (rep2 < rep[k] if rep2 is rep else True))
-                    if len(other):
-                        same, filled = _agree(sk2[other], sk[k])
-                        other = other[same >= least * filled]
-                        found += [(min(rep[k], rep2[o]), max(rep[k], rep2[o])) for o in other.tolist()]
-                if found:
-                    l, r = zip(*found)
-                    yield pa.RecordBatch.from_pydict({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64())})
-
-    return members.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "l long, r long")
+        for rows in pieces(batches):
+            rows = rows.combine_chunks()
+            lo, hi, t = (rows.column(c)[0].as_py() for c in ("lo", "hi", "t"))
+            rep, comp, block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
+            sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            a, b = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, SIDE) for c in ("a", "b"))
+            sets = [np.frombuffer(v.as_buffer(), "<u8") for v in rows.column("shingles")]
+            size = np.array([len(x) for x in sets])
+            root = {c: c for c in comp.tolist()}
+
+            def top(c: int, root: dict = root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            found: list[tuple[int, int]] = []
+            now = comp.copy()
+            for k in range(1, len(rep)):
+                other = np.flatnonzero((now[:k] != now[k]) & ((block[:k] != block[k]) if lo != hi else True))
+                if not len(other):
+                    continue
+                table_ = (a[other] == a[k]).argmax(1) * SIDE + (b[other] == b[k]).argmax(1)
+                other = other[table_ == t]
+                same, filled = _agree(sk[other], sk[k])
+                other = other[same >= least * filled]
+                for at in range(0, len(other), 64):
+                    near = other[at : at + 64]
+                    near = near[now[near] != now[k]]
+                    if not len(near):
+                        break
+                    every = np.concatenate([sets[o] for o in near.tolist()])
+                    place = np.minimum(np.searchsorted(sets[k], every), size[k] - 1)
+                    both = np.add.reduceat((sets[k][place] == every).astype(np.int64), np.cumsum(size[near]) - size[near])
+                    yes = near[100 * both >= percent * (size[near] + size[k] - both)]
+                    if len(yes):
+                        for o in yes.tolist():
+                            x, y = top(int(comp[o])), top(int(comp[k]))
+                            if x != y:
+                                root[max(x, y)] = min(x, y)
+                                found.append((min(int(rep[o]), int(rep[k])), max(int(rep[o]), int(rep[k]))))
+                        now = np.array([top(c) for c in comp.tolist()])
+            if found:
+                l, r = zip(*found)
+                yield pa.RecordBatch.from_pydict({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64())})
+
+    order = ["key", "lo", "hi"]
+    return members.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(run, "l long, r long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -249,13 +288,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     reps = written(prints.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     first = prints.join(reps, (prints.fp == reps.fp) & (prints.doc_id == reps.rep)).select("rep", "a", "b", "sketch").dropDuplicates(["rep"])
     first = written(first, "first")
-    keys = first.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep")
+    keys = first.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep", (F.col("i") * SIDE + F.col("j")).alias("t"))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in the order of their keys, those whose key has another row, with the key's first rep."""
         end: tuple = (None, None, False)  # key, its first rep, whether that rep was given
         for batch in batches:
-            key, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            key, rep, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
             if not len(key):
                 continue
             new = np.append(True, key[1:] != key[:-1])
@@ -268,25 +307,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
             counts = np.bincount(run[run >= 0], minlength=len(at)) if len(at) else np.zeros(0, np.int64)
             give = follow.copy()
             give[at] = counts > 1
-            out_key, out_lead, out_rep = key[give], lead[give], rep[give]
+            out_key, out_lead, out_rep, out_t = key[give], lead[give], rep[give], t[give]
             if follow[0] and not end[2]:
-                out_key, out_lead, out_rep = np.append(end[0], out_key), np.append(end[1], out_lead), np.append(end[1], out_rep)
+                out_key, out_lead, out_rep, out_t = np.append(end[0], out_key), np.append(end[1], out_lead), np.append(end[1], out_rep), np.append(t[0], out_t)
             end = (key[-1], lead[-1], bool(give[-1]) or (not new[-1]))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(out_key, pa.int64()), "lead": pa.array(out_lead, pa.int64()), "rep": pa.array(out_rep, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(out_key, pa.int64()), "lead": pa.array(out_lead, pa.int64()), "rep": pa.array(out_rep, pa.int64()), "t": pa.array(out_t, pa.int32())})
 
-    tables = written(keys.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(shared, "key long, lead long, rep long"), "tables")
+    tables = written(keys.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(shared, "key long, lead long, rep long, t int"), "tables")
     sketches = first.select("rep", "sketch")
     stars = written(sketched(tables.where("lead <> rep").select(F.col("lead").alias("l"), F.col("rep").alias("r")).distinct(), sketches, least), "stars")
     links = verified(stars, docs, words, percent)
     labels = components(links)
-    rest = labelled(tables.select("key", "rep"), labels)
-    several = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same")).where("c1 <> c2")
-    # Keys with the same members are compared once.
-    several = several.groupBy("n", "same").agg(F.min("key").alias("key")).select("key")
-    again = rest.join(several, "key", "left_semi").join(sketches, "rep").select("key", "rep", "component", "sketch")
-    more = cross_pairs(again, least).distinct().join(stars, ["l", "r"], "left_anti")
-    links2 = verified(written(more, "more"), docs, words, percent)
-    labels = components(links.union(links2))
+    rest = labelled(tables.select("key", "rep", "t"), labels)
+    several = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n"), F.min("t").alias("t"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same")).where("c1 <> c2")
+    # Keys with the same members are compared once, in the first of their tables.
+    several = several.groupBy("n", "same").agg(F.min_by("key", "t").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    again = rest.join(several, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "t", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component")
+    again = written(again, "again")
+    needed = again.select(F.col("rep").alias("doc_id")).distinct()
+    sets = sets_of(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), words).groupBy(F.col("doc_id").alias("rep")).agg(F.min("shingles").alias("shingles"))
+    more = written(cross_links(again.join(first.join(sets, "rep"), "rep"), least, percent), "more")
+    labels = components(links.union(more))
     named = written(labelled(reps, labels).select(F.col("fp").alias("of"), "component"), "named")
     out = prints.join(named, prints.fp == named.of, "left")
     component = F.coalesce("component", "doc_id")
