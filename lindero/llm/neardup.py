@@ -13,11 +13,12 @@ minhashes the chance of that is under 2 * (1 - s**2)**8, 0.0006 at 0.8 and 0.000
 3. Candidates pass a sketch (one minimum in each of 128 bins of one hash, a byte each) that a linked
    pair fails with chance under a millionth, then are verified on their full sets.
 4. Links give components, by minimum labels and pointer jumping over written tables.
-5. Keys whose members are not yet one component are taken up again, with their members' full sets:
-   pairs of members that are not yet connected are compared by sketch and, where that passes, by
-   their sets. So a link whose ends share a table is found even if neither end links to the smallest
-   member. Each pair is compared in the first table that it shares. Only links that connect become
-   rows. A key of more than BLOCK members is dealt out as pairs of blocks.
+5. Keys whose members are not yet one component are taken up again: pairs of members that are not yet
+   connected are compared by sketch and, where that passes, by the halves of their shingles' hashes,
+   inside a task; only pairs that connect become rows, and these are verified on their full sets. So a
+   link whose ends share a table is found even if neither end links to the smallest member. Each pair
+   is compared in the first table that it shares. A key of more than BLOCK members is dealt out as
+   pairs of blocks.
 
 No bucket is cut or skipped. Texts are shingled where they are read; for verification only documents
 of candidate pairs are read again.
@@ -123,15 +124,19 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, a array<long>, b array<long>, sketch binary")
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and its shingles as little-endian 64-bit values in order."""
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    return (np.unique(values.astype("<u4")) if kind == "<u4" else values.astype("<u8")).tobytes()
+
+
+def sets_of(docs: DataFrame, n: int, kind: str = "<u8") -> DataFrame:
+    """doc_id and its shingles as little-endian values in order; of kind <u4 the distinct low halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, all_ = buffer_of(batch.column(1))
             for i, j in slices(all_):
                 values, offs = shingle_sets(buf[all_[i] : all_[j]], all_[i : j + 1] - all_[i], n)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i).cast(pa.int64()), "shingles": pa.array([values[offs[k] : offs[k + 1]].astype("<u8").tobytes() for k in range(j - i)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i).cast(pa.int64()), "shingles": pa.array([_packed(values[offs[k] : offs[k + 1]], kind) for k in range(j - i)], pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
@@ -203,44 +208,84 @@ def labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels, ids.rep == labels.id, "left").withColumn("component", F.coalesce("label", "rep")).drop("id", "label")
 
 
-def cross_links(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links (l, r) between members of one key that were of different components.
+_KEY = ["key", "lo", "hi"]
 
-    members: key, t (its table), lo, hi (the pair of blocks), block, rep, component, a, b, sketch, shingles.
-    A pair is compared in the first table that its ends share, and no more once they are connected.
-    """
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """The rows of one key and pair of blocks."""
-        held: list[pa.RecordBatch] = []
-        mark = None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi")])
-            ends = [*(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), n]
-            at = 0
-            for end in ends:
-                if mark is not None and mark != tuple(key[:, at]):
-                    yield pa.Table.from_batches(held)
-                    held = []
-                mark = tuple(key[:, at])
-                held.append(batch.slice(at, end - at))
-                at = end
-        if held:
-            yield pa.Table.from_batches(held)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one key and pair of blocks, of rows in their order."""
+    held: list[pa.RecordBatch] = []
+    mark = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _KEY])
+        at = 0
+        for end in [*(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), n]:
+            if mark is not None and mark != tuple(key[:, at]):
+                yield pa.Table.from_batches(held)
+                held = []
+            mark = tuple(key[:, at])
+            held.append(batch.slice(at, end - at))
+            at = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Members:
+    """One key's members: those before member k that are to be compared with it in this table."""
+
+    def __init__(self, rows: pa.Table, least: float):
+        rows = rows.combine_chunks()
+        self.least, self.within = least, rows.column("lo")[0].as_py() == rows.column("hi")[0].as_py()
+        self.t = rows.column("t")[0].as_py()
+        self.rep, self.comp, self.block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
+        self.sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        self.a, self.b = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, SIDE) for c in ("a", "b"))
+        self.now = self.comp.copy()
+
+    def before(self, k: int) -> np.ndarray:
+        other = np.flatnonzero((self.now[:k] != self.now[k]) & (self.within | (self.block[:k] != self.block[k])))
+        if len(other):
+            first = (self.a[other] == self.a[k]).argmax(1) * SIDE + (self.b[other] == self.b[k]).argmax(1)
+            other = other[first == self.t]
+            same, filled = _agree(self.sk[other], self.sk[k])
+            other = other[same >= self.least * filled]
+        return other
+
+
+_MEMBER = "key long, t int, lo int, hi int, block int, rep long, component long, a array<long>, b array<long>, sketch binary"
+
+
+def likely_members(members: DataFrame, least: float) -> DataFrame:
+    """Those members (_MEMBER) that are to be compared, and pass by sketch, with another of their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            m = _Members(rows, least)
+            keep = np.zeros(len(m.rep), bool)
+            for k in range(1, len(m.rep)):
+                other = m.before(k)
+                keep[other] = True
+                keep[k] |= len(other) > 0
+            if keep.any():
+                yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return members.repartition(*_KEY).sortWithinPartitions(*_KEY, "rep").mapInArrow(run, _MEMBER)
+
+
+def cross_links(members: DataFrame, least: float, percent: int, skip: bool = True) -> DataFrame:
+    """Pairs (l, r) of members (_MEMBER and shingles) of one key and different components that hold by the low halves of their shingles' hashes.
+
+    With skip, a pair whose ends are connected by pairs before it is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in pieces(batches):
-            rows = rows.combine_chunks()
-            lo, hi, t = (rows.column(c)[0].as_py() for c in ("lo", "hi", "t"))
-            rep, comp, block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
-            sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            a, b = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, SIDE) for c in ("a", "b"))
-            sets = [np.frombuffer(v.as_buffer(), "<u8") for v in rows.column("shingles")]
+        for rows in _groups(batches):
+            m = _Members(rows, least)
+            sets = [np.frombuffer(v.as_buffer(), "<u4") for v in rows.column("shingles")]
             size = np.array([len(x) for x in sets])
-            root = {c: c for c in comp.tolist()}
+            root = {c: c for c in m.comp.tolist()}
 
             def top(c: int, root: dict = root) -> int:
                 while root[c] != c:
@@ -248,37 +293,30 @@ def cross_links(members: DataFrame, least: float, percent: int) -> DataFrame:
                 return c
 
             found: list[tuple[int, int]] = []
-            now = comp.copy()
-            for k in range(1, len(rep)):
-                other = np.flatnonzero((now[:k] != now[k]) & ((block[:k] != block[k]) if lo != hi else True))
-                if not len(other):
-                    continue
-                table_ = (a[other] == a[k]).argmax(1) * SIDE + (b[other] == b[k]).argmax(1)
-                other = other[table_ == t]
-                same, filled = _agree(sk[other], sk[k])
-                other = other[same >= least * filled]
+            for k in range(1, len(sets)):
+                other = m.before(k)
                 for at in range(0, len(other), 64):
                     near = other[at : at + 64]
-                    near = near[now[near] != now[k]]
+                    near = near[m.now[near] != m.now[k]]
                     if not len(near):
-                        break
+                        continue
                     every = np.concatenate([sets[o] for o in near.tolist()])
                     place = np.minimum(np.searchsorted(sets[k], every), size[k] - 1)
                     both = np.add.reduceat((sets[k][place] == every).astype(np.int64), np.cumsum(size[near]) - size[near])
                     yes = near[100 * both >= percent * (size[near] + size[k] - both)]
-                    if len(yes):
-                        for o in yes.tolist():
-                            x, y = top(int(comp[o])), top(int(comp[k]))
-                            if x != y:
+                    for o in yes.tolist():
+                        x, y = top(int(m.comp[o])), top(int(m.comp[k]))
+                        if x != y or not skip:
+                            found.append((min(int(m.rep[o]), int(m.rep[k])), max(int(m.rep[o]), int(m.rep[k]))))
+                            if skip:
                                 root[max(x, y)] = min(x, y)
-                                found.append((min(int(rep[o]), int(rep[k])), max(int(rep[o]), int(rep[k]))))
-                        now = np.array([top(c) for c in comp.tolist()])
+                    if len(yes) and skip:
+                        m.now = np.array([top(c) for c in m.comp.tolist()])
             if found:
                 l, r = zip(*found)
                 yield pa.RecordBatch.from_pydict({"l": pa.array(l, pa.int64()), "r": pa.array(r, pa.int64())})
 
-    order = ["key", "lo", "hi"]
-    return members.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(run, "l long, r long")
+    return members.repartition(*_KEY).sortWithinPartitions(*_KEY, "rep").mapInArrow(run, "l long, r long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -324,10 +362,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     several = several.groupBy("n", "same").agg(F.min_by("key", "t").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     again = rest.join(several, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "t", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component")
-    again = written(again, "again")
+    again = again.join(first, "rep").select(*[c.split()[0] for c in _MEMBER.split(", ")])
+    again = written(likely_members(again, least), "again")
     needed = again.select(F.col("rep").alias("doc_id")).distinct()
-    sets = sets_of(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), words).groupBy(F.col("doc_id").alias("rep")).agg(F.min("shingles").alias("shingles"))
-    more = written(cross_links(again.join(first.join(sets, "rep"), "rep"), least, percent), "more")
+    sets = sets_of(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), words, "<u4").groupBy(F.col("doc_id").alias("rep")).agg(F.min("shingles").alias("shingles"))
+    members = again.join(sets, "rep")
+    near = written(cross_links(members, least, percent), "near")
+    more = verified(near, docs, words, percent)
+    if more.count() < near.count():  # halves of hashes met where whole ones differ: nothing may be left out then
+        more = verified(written(cross_links(members, least, percent, skip=False), "near"), docs, words, percent)
     labels = components(links.union(more))
     named = written(labelled(reps, labels).select(F.col("fp").alias("of"), "component"), "named")
     out = prints.join(named, prints.fp == named.of, "left")
