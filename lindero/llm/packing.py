@@ -16,6 +16,10 @@ null or repeated. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
+import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +36,10 @@ END_ID = 0
 #: Tokens of a share of the packing; the bins open at its end are at most about a hundredth of it.
 SHARE_TOKENS = 1 << 25
 #: Entries of the cache of encoded words in each Python worker.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
+
+#: A word of letters with full stops or the like behind it, all of which any version of Unicode calls so.
+_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+[.,;!?]*").fullmatch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -81,32 +88,56 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = self._for_letters(path)
         self.clear()
 
+    def _for_letters(self, path: str):
+        """The same vocabulary in the library that is faster at single words; None where there is no such file."""
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        if not os.path.exists(ranks):
+            return None
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("words", pat_str=" ?[A-Za-z\u00c0-\u024f]+|[.,;!?]+", mergeable_ranks=known, special_tokens={}).encode_ordinary
+
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            found = self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)
-            for h, e in zip(hashes[i : i + 4096], found, strict=True):
-                ids, k = e.ids, len(self.slot)
-                if k == len(self.start):
-                    self.start, self.count = np.concatenate([self.start] * 2), np.concatenate([self.count] * 2)
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool] * 2)
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.slot[h], self.start[k], self.count[k] = k, self.used, len(ids)
-                self.used += len(ids)
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. A run of letters, with a mark behind it, is split alike by both libraries."""
+        if self.letters is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        letters = self.letters
+        out = [letters(w) if _PLAIN(w) else None for w in words]
+        other = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
-    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rows in a row, and the n + 1 offsets of the rows in them."""
-        if not len(buf):
-            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        for i in range(0, len(words), 16384):
+            ids = self._ids(words[i : i + 16384])
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            total, k = int(counts.sum()), len(self.slot)
+            while k + len(ids) > len(self.start):
+                self.start, self.count = np.concatenate([self.start] * 2), np.concatenate([self.count] * 2)
+            while self.used + total > len(self.pool):
+                self.pool = np.concatenate([self.pool] * 2)
+            self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+            self.start[k : k + len(ids)] = self.used + np.cumsum(counts) - counts
+            self.count[k : k + len(ids)] = counts
+            self.slot.update(zip(hashes[i : i + 16384], range(k, k + len(ids))))
+            self.used += total
+
+    def cuts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Where in buf a part begins; parts end at row ends."""
         space, high = _IS_SPACE[buf], buf >= 128
         alone = np.zeros(len(buf), bool)
         alone[1:-1] = (buf[1:-1] == 32) | (buf[1:-1] == 10)
@@ -118,17 +149,25 @@ class Encoder:
         cut[1:] |= alone[:-1] & (buf[:-1] == 10)
         cut[at] = True
         cut[0] = True
+        return cut
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows in a row, and the n + 1 offsets of the rows in them."""
+        if not len(buf):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        cut = self.cuts(buf, offs)
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(buf))
         uniq, first, inverse = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.slot) > CACHED_WORDS:
             self.clear()
         keys = uniq.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.slot]
+        slot = self.slot
+        new = [k for k, h in enumerate(keys) if h not in slot]
         if new:
             raw = buf.tobytes()
             self._learn([keys[k] for k in new], [raw[starts[first[k]] : ends[first[k]]].decode("utf-8", "replace") for k in new])
-        slots = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))[inverse]
+        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[inverse]
         counts = self.count[slots]
         total = np.concatenate([[0], np.cumsum(counts)])
         ids = self.pool[np.repeat(self.start[slots] - total[:-1], counts) + np.arange(total[-1])]
