@@ -38,13 +38,8 @@ def words(text: Column) -> Column:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    """How many characters of text are among chars."""
-    t = F.coalesce(text, F.lit(""))
-    return F.length(t) - F.length(F.translate(t, chars, ""))
-
-
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(F.coalesce(text, F.lit("")), SPACE, ""))
+    """How many characters of text are among chars, none of which has a meaning within brackets."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[{chars}]"))
 
 
 def lines(text: Column) -> Column:
@@ -52,10 +47,6 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
 
 
-def dup_lines(text: Column) -> Column:
-    return let(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-
-
 def repeat_words(ws: Column, n: int = 3) -> Column:
     """Words in windows of n that occur twice or more. ws: the words.
 
@@ -64,8 +55,8 @@ def repeat_words(ws: Column, n: int = 3) -> Column:
     """
 
     def sorted_(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        again = let(pairs, lambda p: F.transform(F.filter(p, lambda x, k: F.coalesce((F.get(p, k - 1)["h"] == x["h"]) | F.lit(False), F.lit(False)) | F.coalesce(F.get(p, k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        again = let(pairs, lambda p: F.transform(F.filter(p, lambda x, k: F.coalesce(F.get(p, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(p, k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
         return let(F.sort_array(again), lambda at: F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(n), F.coalesce(F.get(at, k + 1) - x, F.lit(n)))), F.lit(0), lambda a, b: a + b))
 
     def found(w: Column) -> Column:
@@ -75,32 +66,52 @@ def repeat_words(ws: Column, n: int = 3) -> Column:
     return let(ws, found)
 
 
-def rules(text: Column) -> dict[str, Column]:
-    """Conditions that reject a text, by name; a null condition does not reject."""
-    ws, t = words(text), F.coalesce(text, F.lit(""))
-    n = F.size(ws)
+def counts(text: Column, w: Column) -> dict[str, Column]:
+    """What the rules count, by name. w: the words of text."""
+    return {
+        "n_words": F.size(w),
+        "n_repeat_words": repeat_words(w),
+        "word_chars": F.length(F.array_join(w, "")),
+        "n_chars": F.length(F.coalesce(text, F.lit(""))),
+        "n_symbols": count_of(text, SYMBOLS),
+        "n_exclamations": count_of(text, "!"),
+        "n_digits": count_of(text, "0123456789"),
+        "n_lines": F.size(lines(text)),
+        "n_dup_lines": let(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+    }
+
+
+def rules(c: dict[str, Column]) -> dict[str, Column]:
+    """Conditions that reject a text, by name, on what is counted."""
+    n = c["n_words"]
     return {
         "too_few_words": n < 50,
-        "repeated_windows": let(ws, lambda w: 100 * repeat_words(w) > 50 * F.size(w)),
-        "symbols": 10 * count_of(text, SYMBOLS) > n,
-        "exclamations": 4 * count_of(text, "!") > n,
-        "duplicate_lines": let(lines(text), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 40 * F.size(x)),
-        "long_words": word_chars(text) > 20 * n,
-        "short_words": word_chars(text) < 2 * n,
-        "digits": 100 * count_of(text, "0123456789") > 30 * F.length(t),
+        "repeated_windows": 100 * c["n_repeat_words"] > 50 * n,
+        "symbols": 10 * c["n_symbols"] > n,
+        "exclamations": 4 * c["n_exclamations"] > n,
+        "duplicate_lines": 100 * c["n_dup_lines"] > 40 * c["n_lines"],
+        "long_words": c["word_chars"] > 20 * n,
+        "short_words": c["word_chars"] < 2 * n,
+        "digits": 100 * c["n_digits"] > 30 * c["n_chars"],
     }
 
 
-def measured(docs: DataFrame, conditions: dict[str, Column], share: float = SAMPLE_SHARE, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+def _one(text: Column, name: str) -> Callable[[Column], Column]:
+    return lambda w: rules(counts(text, w))[name]
+
+
+def measured(docs: DataFrame, share: float = SAMPLE_SHARE, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
     """Seconds and rejected share of each rule over the sample."""
     sample = docs.select("text").sample(share, 17).limit(rows).persist()
+    text = F.col("text")
     try:
         n = sample.count()
         out = {}
-        for name, condition in conditions.items():
+        for name in rules(counts(text, words(text))):
+            hit = let(words(text), _one(text, name))
             began = time.perf_counter()
-            hit = sample.agg(F.count_if(condition)).first()[0]
-            out[name] = (time.perf_counter() - began, hit / n if n else 0.0)
+            found = sample.agg(F.count_if(hit)).first()[0]
+            out[name] = (time.perf_counter() - began, found / n if n else 0.0)
         return out
     finally:
         sample.unpersist()
@@ -116,31 +127,29 @@ def cascade(conditions: dict[str, Column], figures: dict[str, tuple[float, float
 
 
 def judged(docs: DataFrame, name: str = "first_failed") -> DataFrame:
-    """docs with the first rule in the cascade that rejects each text, null for those to keep."""
-    conditions = rules(F.col("text"))
-    return docs.withColumn(name, cascade(conditions, measured(docs, conditions)))
+    """docs with the first rule in the cascade that rejects each text, null for those to keep. Words are cut once; the rest is counted as the cascade asks for it."""
+    text, figures = F.col("text"), measured(docs)
+    return docs.withColumn(name, let(words(text), lambda w: cascade(rules(counts(text, w)), figures)))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
-    conditions = rules(F.col("text"))
-    return docs.where(cascade(conditions, measured(docs, conditions)).isNull())
+    text, figures = F.col("text"), measured(docs)
+    return docs.where(let(words(text), lambda w: cascade(rules(counts(text, w)), figures)).isNull())
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, everything that the rules count, and first_failed by the cascade over these counts."""
+    text, figures = F.col("text"), measured(docs)
+    rows = docs.select("doc_id", let(words(text), lambda w: F.struct(*[c.cast("long").alias(k) for k, c in counts(text, w).items()])).alias("c"))
+    names = counts(text, words(text))
+    return rows.select("doc_id", "c.*", cascade(rules({k: F.col("c")[k] for k in names}), figures).alias("first_failed"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    t = F.col("text")
-    counted = judged(docs).select(
-        "doc_id",
-        let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).cast("long").alias("r"))).alias("w"),
-        word_chars(t).cast("long").alias("word_chars"),
-        count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
-        dup_lines(t).cast("long").alias("n_dup_lines"),
-        F.col("first_failed").isNull().alias("verdict"),
-    )
-    n, r = F.col("w.n"), F.col("w.r")
-    failed = (n < 50) | (100 * r > 50 * n)
-    return counted.select("doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & F.col("verdict")).alias("kept"))
+    found = described(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("first_failed").isNull()).alias("kept"))
 
 
 OP9_SQL = r"""
