@@ -53,18 +53,18 @@ class Model:
                 row.append(np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
             counts.append(row)
         # Contexts in the union of the trees, by order; order k's context c is number base[k] + its place.
-        known = [np.unique(np.concatenate([c // a for c, _ in row])) if k else np.zeros(1, np.int64) for k, row in enumerate(counts)]
+        known = [np.unique(np.concatenate([np.zeros(0, np.int64), *(c // a for c, _ in row)])) if k else np.zeros(1, np.int64) for k, row in enumerate(counts)]
         base = np.cumsum([0, *map(len, known)])
         self.costs = np.zeros((base[-1], a, max(1, len(self.languages))), np.float32)
         for j in range(len(self.languages)):
             self._fill(j, counts, known, base)
         # Each full context's deepest known one.
         full = np.zeros(self.powers[order], np.int32)
-        for k in range(1, order + 1):
+        for k in (k for k in range(1, order + 1) if len(known[k])):
             every = np.arange(self.powers[order]) % self.powers[k]
             at = np.searchsorted(known[k], every)
             at[at == len(known[k])] = 0
-            hit = known[k][at] == every if len(known[k]) else np.zeros(len(every), bool)
+            hit = known[k][at] == every
             full[hit] = base[k] + at[hit]
         self.context = full
 

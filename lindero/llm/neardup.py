@@ -374,7 +374,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     labels = components(links.union(more))
     named = written(labelled(reps, labels).select(F.col("fp").alias("of"), "component"), "named")
     out = prints.join(named, prints.fp == named.of, "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 

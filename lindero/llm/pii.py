@@ -40,6 +40,8 @@ LABELS = 5  # none, then KINDS
 BUCKETS = 1 << 12
 SAMPLE_DOCS, SAMPLE_TOKENS = 20_000, 50_000
 ROUNDS, DAMP, SURE = 20, 0.3, 0.9
+#: What equal or similar tokens weigh towards one label before training says otherwise.
+AGREE = 2.0
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -164,7 +166,7 @@ class Field:
     def __init__(self) -> None:
         self.own = np.zeros((BUCKETS, LABELS))
         self.chain = np.zeros((LABELS, LABELS))
-        self.skip = 0.0
+        self.skip = AGREE
 
     def train(self, rows: list[tuple[int, list[int], int, int, list[int]]], steps: int = 200, rate: float = 0.5, ridge: float = 1e-3) -> None:
         """Pseudo-likelihood by full gradients. rows: label, features, labels before and behind (-1: none), labels of linked tokens."""
@@ -193,7 +195,7 @@ class Field:
             np.add.at(c, before[has_b], d[has_b])
             np.add.at(c.T, behind[has_a], d[has_a])
             self.chain -= rate * (c + ridge * self.chain)
-            self.skip -= rate * ((d * linked).sum() + ridge * self.skip)
+            self.skip -= rate * ((d * linked).sum() + ridge * (self.skip - AGREE))
 
     def marginals(self, graph: Graph) -> np.ndarray:
         """Each token's label probabilities by loopy belief propagation."""
