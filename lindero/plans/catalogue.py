@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import places
 from ..operators import augment, catalogue, decision, evaluation, geo, retrieval, splits
 from . import derive
 from .derive import view
@@ -516,6 +517,16 @@ def parse_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.texts(spark, sf_dir).select("row_id", C.parse_address("raw").alias("a")).select("row_id", "a.*")
 
 
+@query()
+def detect_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as barrios with their regions as comunas, mentioned behind the address of each line item."""
+    n = view(spark, sf_dir, "nation")
+    features = n.select(F.lit("barrio").alias("kind"), F.col("n_name").alias("name"), (F.col("n_regionkey") + 1).cast("string").alias("parent"))
+    t = derive.texts(spark, sf_dir).withColumn("k", F.pmod("row_id", F.lit(25)).cast("int")).join(n.select(F.col("n_nationkey").alias("k"), "n_name"), "k")
+    raw = F.when(F.col("variant") % 2 == 0, F.concat("raw", F.lit(", barrio "), "n_name")).otherwise(F.concat("raw", F.lit(", "), F.lower("n_name")))
+    return t.select("row_id", places.detector(spark, features)(raw).alias("d")).select("row_id", "d.*")
+
+
 @query()
 def corrupt_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augment.variants(docs(spark, sf_dir).select("doc_id", "direccion"), 3, 17)
