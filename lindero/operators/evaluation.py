@@ -194,3 +194,42 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     one = df.agg(F.count("*").alias("n_"), *[F.struct(F.count(c).alias("non_null"), count(F.col(c)).alias("n_unique")).alias("c_" + c) for c in df.columns])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("c_" + c + ".non_null").alias("non_null"), (F.col("n_") - F.col("c_" + c + ".non_null")).alias("nulls"), F.col("c_" + c + ".n_unique").alias("n_unique")) for c in df.columns])
     return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def logistic_score(model: dict) -> Column:
+    """The probability that a fit of logistic() gives a row."""
+    z = F.lit(model["intercept"])
+    for f, w in model["coef"].items():
+        z = z + w * C.standardised(F.col(f), model["means"][f], model["stds"][f])
+    return C.sigmoid(z)
+
+
+def log_loss(rows: DataFrame, p: Column, label: str) -> float:
+    q, y = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p)), F.col(label).cast("int")
+    return rows.agg(F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q)))).first()[0] or 0.0
+
+
+def nested_leave_one_out(rows: DataFrame, features: Sequence[str], label: str, group: str, grid: Sequence[float] = (0.1, 1.0, 10.0)) -> DataFrame:
+    """rows with p, predicted for each group by a fit on the others; the ridge is chosen on these alone, by the same scheme.
+
+    A loop over the groups (data sets, a handful) on the driver; each fit is distributed.
+    """
+    groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
+    out = None
+    for g in groups:
+        train = rows.where(F.col(group) != g)
+        inner = [h for h in groups if h != g]
+
+        def loss(c: float, train: DataFrame = train, inner: list = inner) -> float:
+            fits = [(h, logistic(train.where(F.col(group) != h), features, label, c)) for h in inner] if len(inner) > 1 else [(inner[0], logistic(train, features, label, c))]
+            return sum(log_loss(train.where(F.col(group) == h), logistic_score(m), label) for h, m in fits)
+
+        best = min(grid, key=loss) if inner else grid[0]
+        one = rows.where(F.col(group) == g).withColumn("p", logistic_score(logistic(train, features, label, best)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def ships(new: dict[str, float], old: dict[str, float], tolerance: float = 0.0) -> bool:
+    """Whether a calibration replaces another: a lower Brier score and no worse calibration error."""
+    return new["brier"] < old["brier"] and new["ece"] <= old["ece"] + tolerance

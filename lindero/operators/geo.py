@@ -146,3 +146,40 @@ def nearest(points: DataFrame, others: DataFrame, k: int, size: float, same: boo
         if not left.limit(1).count():
             return out
         todo, reach = left, reach * 2
+
+
+def ring_polygons(rings: list[list[list[float]]]) -> list[list[list[list[float]]]]:
+    """Rings as polygons, each a shell with its holes: clockwise rings are shells, others holes of the smallest shell around them."""
+    def area(r: list) -> float:
+        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, [*r[1:], r[0]])) / 2
+
+    def has(r: list, p: list) -> bool:
+        odd = False
+        for (x1, y1), (x2, y2) in zip(r, [*r[1:], r[0]]):
+            if (y1 > p[1]) != (y2 > p[1]) and p[0] < (x2 - x1) * (p[1] - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    shells = [[r] for r in rings if len(r) >= 3 and area(r) < 0]
+    for hole in (r for r in rings if len(r) >= 3 and area(r) > 0):
+        around = [s for s in shells if has(s[0], hole[0])]
+        if around:
+            min(around, key=lambda s: -area(s[0])).append(hole)
+        else:  # drawn the wrong way round
+            shells.append([hole])
+    return shells
+
+
+def polygons_wkb(rings: list[list[list[float]]]) -> bytes:
+    """Rings as well-known binary: a polygon, or a multipolygon where there are several shells."""
+    import struct
+
+    def one(p: list) -> bytes:
+        out = struct.pack("<BII", 1, 3, len(p))
+        for r in p:
+            closed = r if r[0] == r[-1] else [*r, r[0]]
+            out += struct.pack("<I", len(closed)) + b"".join(struct.pack("<2d", *q) for q in closed)
+        return out
+
+    parts = ring_polygons(rings)
+    return one(parts[0]) if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(map(one, parts))
