@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space, and tab to carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -51,6 +52,25 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the filter of among(): at most 1,024 bitmaps of 4 kB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, ...) whose doc_id, null included, is among ids (one column, distinct).
+
+    Before the join, rows are tested against a bitmap of the ids' hashes, which has a fixed size and is
+    broadcast, so that texts that are not wanted do not travel. It lets some more pass, never fewer.
+    """
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    wanted = ids.select(F.col(ids.columns[0]).alias("wanted_id_"))
+    maps = wanted.select(hashed("wanted_id_").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits_"))
+    rows = docs.withColumn("hash_", hashed("doc_id")).join(F.broadcast(maps), F.bitmap_bucket_number("hash_") == F.col("bucket_"))
+    bit = "shiftright(cast(conv(hex(substring(bits_, cast(bitmap_bit_position(hash_) div 8 + 1 as int), 1)), 16, 10) as int), cast(bitmap_bit_position(hash_) % 8 as int)) & 1"
+    # An inner join on distinct ids: a semi-join would be moved before the test.
+    return rows.where(F.expr(bit) == 1).select(*docs.columns).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id_"))).select(*docs.columns)
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column and the n + 1 offsets of its values."""
     if isinstance(column, pa.ChunkedArray):

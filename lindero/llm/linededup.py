@@ -34,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, table, written
+from .common import among, drop_written, table, written
 from .quality import SPACE
 
 MIN_CHARS, LEAF = 16, 48
@@ -96,7 +96,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, leaf: int = LEAF) -> DataFram
     """first and of: distinct lines that have an earlier one within one edit. firsts: h1, h2, first, n, halves."""
     keys = firsts.where("halves is not null").select("h1", "first", "n", F.posexplode("halves").alias("t", "key"))
     kept = written(_shared(keys, "key"), "halves")
-    texts = docs.select("doc_id", "text").join(kept.select(F.col("first.doc_id").alias("d")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    texts = among(docs.select("doc_id", "text"), kept.select(F.col("first.doc_id").alias("d")).distinct())
     texts = lines_of(texts).select(F.struct("doc_id", "line_no").alias("at"), "line").join(kept.select("first").distinct(), F.col("at").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["at"])
     texts = written(texts, "texts")
     rows = kept.join(texts, F.col("first").eqNullSafe(F.col("at")))
