@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, drop_written, hash_spans, lowered, mixed, slices, table, word_spans, written
+from .common import among, buffer_of, drop_written, hash_spans, lowered, mixed, slices, table, word_spans, written
 
 SIDE, WIDTH, BINS = 8, 2, 128
 #: Share of agreeing bins, of those filled in either sketch, that a candidate needs: for a threshold t, t less five deviations of 128 bins.
@@ -176,7 +176,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["l", "r"])
 
     needed = pairs.select(F.explode(F.array("l", "r")).alias("doc_id")).distinct()
-    rows = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    rows = among(docs.select("doc_id", "text"), needed)
     sets = sets_of(rows, n).groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
     s = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias("s" + c))
     sets = written(sets, "sets")
@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     again = again.join(first, "rep").select(*[c.split()[0] for c in _MEMBER.split(", ")])
     again = written(likely_members(again, least), "again")
     needed = again.select(F.col("rep").alias("doc_id")).distinct()
-    sets = sets_of(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), words, "<u4").groupBy(F.col("doc_id").alias("rep")).agg(F.min("shingles").alias("shingles"))
+    sets = sets_of(among(docs.select("doc_id", "text"), needed), words, "<u4").groupBy(F.col("doc_id").alias("rep")).agg(F.min("shingles").alias("shingles"))
     members = again.join(sets, "rep")
     near = written(cross_links(members, least, percent), "near")
     more = verified(near, docs, words, percent)
