@@ -143,6 +143,38 @@ def test_class_model_sums_to_one():
     assert (10**seen).sum() + (types[0] + 1) * 10 ** unseen[0] == pytest.approx(1)
 
 
+def test_words_below_the_top_get_their_own_class(spark):
+    """Two words that end alike, both outside the top, follow different words: each takes the class of the words it stands like."""
+    rng = random.Random(4)
+    pairs = [(rng.choice(["red", "blue"]), rng.choice(["cat", "dog", "catxyz"])) if rng.random() < 0.5 else (rng.choice(["runs", "sits"]), rng.choice(["fast", "well", "fastxyz"])) for _ in range(4000)]
+    docs = spark.createDataFrame([(k, " ".join(f"{a} {b}" for a, b in pairs[40 * k : 40 * k + 40])) for k in range(100)], "doc_id long, text string").coalesce(1)
+    of = brown.blocks(docs)
+    import numpy as np
+
+    h = {w: brown.hash_spans(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in "red blue runs sits cat dog fast well catxyz fastxyz".split()}
+    top = np.sort(np.array([h[w] for w in "red blue runs sits cat dog fast well".split()], np.uint64))
+    m = len(top) + brown.TAILS + 1
+    pairs = np.zeros((m, m))
+    for code, n in brown.bigrams(of, top).collect():
+        pairs[divmod(code, m)] = n
+    model = brown.Model(top, pairs, np.zeros(brown.TAILS), np.zeros(brown.TAILS), 0, 0, 6)
+    rows = brown.counted(of, model, 5).where("kind = 0").collect()
+    block = of.collect()[0]
+    words = np.frombuffer(block.words, "<u8")
+    item = dict(zip(words.tolist(), np.frombuffer(rows[0].data[: len(words) * 2], "<u2").tolist()))
+    assert len(rows) == 1 and len({item[int(h[w])] for w in ("catxyz", "fastxyz")}) == 2
+    assert all(item[int(h[w])] < len(model.step) for w in h)
+
+
+def test_class_scores_know_words_below_the_top(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(x for _ in range(20) for x in rng.choice([("red", "catxyz"), ("runs", "fastxyz")]))
+    docs = spark.createDataFrame([(k, text()) for k in range(200)] + [(1000, "red catxyz " * 5), (1001, "red fastxyz " * 5)], "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in brown.class_scores(docs, top_words=2, classes=6).collect()}
+    assert rows[1000] > rows[1001] + 1
+    assert brown.class_count(1_000_000) > brown.class_count(10_000) == brown.CLASSES
+
+
 def test_exchange_finds_classes():
     import numpy as np
 
