@@ -1,4 +1,4 @@
-"""The matching pipeline: texts in, statuses, documents and reasons out."""
+"""The street-block matcher, a part of the matching pipeline: texts in, statuses, documents and reasons out. README lists what is left out."""
 
 from __future__ import annotations
 
@@ -22,8 +22,9 @@ def normalize(texts: DataFrame, docs: DataFrame, k: int = TOP, threshold: float
     """A row per text (row_id, raw): estado, motivo, document, block, scores and precision.
 
     Placeholders and texts that do not parse leave before candidates are sought. Distinct texts are
-    matched once. Candidates come from the street (kind and number); the similarity is of hashed
-    character trigrams, in place of a trained encoder.
+    matched once. Candidates come from the street (kind and number) only, not from two views over the
+    whole catalogue; the similarity is of character trigrams, in place of a trained encoder. There is
+    no place detection, geographic gate, geo score, municipality guard or calibration here.
     """
     distinct = texts.select("raw").distinct().withColumn("id", F.xxhash64("raw"))
     marked = distinct.withColumn("placeholder", C.is_placeholder(F.col("raw")))
