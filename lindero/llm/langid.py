@@ -10,8 +10,9 @@ by two array lookups a byte: exact code lengths, at every position. The language
 code wins.
 
 Bounds: the sample is at most SAMPLE_DOCS texts and SAMPLE_BYTES bytes a language, taken by the
-hash of their ids; LANGUAGES at most; contexts are those of the sample, so the table's size does not
-grow with the corpus. Bytes that no sampled text has share one symbol.
+hash of their ids. A text longer than SAMPLE_BYTES is taken only if its language has no shorter one,
+and then the shortest. There may be any number of languages; contexts are those of the sample, so the
+table's size grows with the number of languages, not with the corpus. Bytes that no sampled text has share one symbol.
 
 Cases: null texts and texts without a letter are "und" with score 0; a corpus without labels predicts
 "und" for all. Texts of any length are scored whole. Ties go to the first language by name. Rows
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import buffer_of, slices, table
 
 ORDER = 3
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 500, 1_500_000, 200
+SAMPLE_DOCS, SAMPLE_BYTES = 500, 1_500_000
 SCORE_SLICE = 1 << 20
 
 
@@ -127,16 +128,16 @@ class Model:
 def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of the labelled texts of docs (doc_id, text, lang); docs is the training part."""
     ranked = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("h"), F.octet_length("text").alias("n"))
-    top = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_docs)
+    top = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.greatest("n", F.lit(sample_bytes)), "h"))).where(F.col("k") <= sample_docs)
     chosen, had = [], {}
-    for lang, h, n, _ in top.orderBy("lang", "k").limit(sample_docs * LANGUAGES).collect():
+    for lang, h, n, _ in top.orderBy("lang", "k").collect():
         if had.get(lang, 0) == 0 or had[lang] + n <= sample_bytes:
             had[lang] = had.get(lang, 0) + n
             chosen.append((lang, h))
     texts: dict[str, list[bytes]] = {lang: [] for lang in had}
     if chosen:
         spark = docs.sparkSession
-        keys = F.broadcast(spark.createDataFrame(chosen, "lang string, h long").distinct())  # at most sample_docs * LANGUAGES rows of two values
+        keys = F.broadcast(spark.createDataFrame(chosen, "lang string, h long").distinct())  # at most sample_docs rows of two values a language
         seen = docs.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.xxhash64("text"))).join(keys, ["lang", "h"])
         for lang, text in seen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text").collect():
             texts[lang].append(text.encode())

@@ -103,6 +103,16 @@ def test_languages(spark, odd, none):
     assert {r.lang_pred for r in langid.predicted(odd, langid.learned(none)).collect()} == {"und"}
 
 
+def test_languages_are_not_capped(spark):
+    """Any number of languages is learned, and texts over the byte budget do not stand for their language."""
+    many = spark.createDataFrame([(k, f"text of {k}", f"l{k:03}") for k in range(230)], "doc_id long, text string, lang string")
+    assert sorted(langid.learned(many, sample_docs=1).languages) == [f"l{k:03}" for k in range(230)]
+    long = spark.createDataFrame([(k, "q" * 200, "xx") for k in range(30)] + [(30, "aaa", "xx"), (31, "z" * 500, "yy"), (32, "w" * 300, "yy")], "doc_id long, text string, lang string")
+    m = langid.learned(long, sample_bytes=100)
+    rest = m.symbol[ord("!")]
+    assert m.symbol[ord("q")] == m.symbol[ord("z")] == rest and rest not in (m.symbol[ord("a")], m.symbol[ord("w")])
+
+
 def test_class_scores(spark, odd, odd_rows, none):
     rng = random.Random(3)
     more = [(100 + k, " ".join(rng.choice(["the cat sat", "the dog ran", "a bird flew"]) for _ in range(30)), None) for k in range(60)]
