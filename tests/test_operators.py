@@ -57,3 +57,18 @@ def test_variants_do_not_depend_on_partitions(spark):
 
 def test_ships():
     assert evaluation.ships({"brier": 0.1, "ece": 0.02}, {"brier": 0.2, "ece": 0.02}) and not evaluation.ships({"brier": 0.1, "ece": 0.03}, {"brier": 0.2, "ece": 0.02})
+
+
+def test_label_quality(spark):
+    rows = spark.createDataFrame([(1, "Calle 10 # 20-30", "CL 10 20 30"), (2, "Calle 10 # 20-30", "Calle 11 # 20-30"), (3, "Calle 10 # 20-30", None), (4, "nada", "Calle 10 # 20-30")], "k long, a string, b string")
+    parsed = rows.withColumns({"a": C.parse_address("a"), "b": F.when(F.col("b").isNotNull(), C.parse_address("b"))})
+    got = {r.k: r.gt_quality for r in splits.label_quality(parsed, F.col("a"), F.col("b")).collect()}
+    assert got == {1: "gold", 2: "noisy", 3: "no_gt", 4: "noisy"}
+
+
+def test_snapped(spark):
+    square = lambda x: [[(x, 0.0), (x, 1.0), (x + 1, 1.0), (x + 1, 0.0), (x, 0.0)]]
+    polygons = spark.createDataFrame([(1, square(0.0)), (2, square(3.0))], "poly_id long, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(1, 1.4, 0.5), (2, 2.7, 0.5), (3, 9.0, 9.0), (4, 2.0, 0.5)], "point_id long, lon double, lat double")
+    got = {r.point_id: (r.poly_id, round(r.d, 6)) for r in geo.snapped(points, polygons, 0.5, 0.5).collect()}
+    assert got == {1: (1, 0.4), 2: (2, 0.3)}
