@@ -6,8 +6,9 @@ so the best fit, the least free space that is enough, is one shift and one lowes
 open bin fits and all places are taken, the fullest bin closes to make room for a new one.
 
 Documents are tokenised where they are read; only (doc_id, piece, start, length, checksum) travels.
-Each task packs a hash-dealt share of the pieces; shares are of a constant number of tokens, so the
-bins that stay open at a share's end are a constant part of all sequences.
+Each task packs a hash-dealt share of the pieces. Shares are of SHARE_TOKENS tokens, so the bins that
+stay open at a share's end are a small part of all sequences, and of more where there would be over
+SHARES of them, so that the number of shuffle blocks stays in hand.
 
 Cases: null and empty texts are documents of one end token. Texts of any length are cut into whole
 sequences, the first piece taking what is over. Equal rows are packed each by itself; doc_id may be
@@ -16,10 +17,8 @@ null or repeated. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,13 +33,10 @@ MAX_TOKENS = 2048
 OPEN_BINS = 2048
 END_ID = 0
 #: Tokens of a share of the packing; the bins open at its end are at most about a hundredth of it.
-SHARE_TOKENS = 1 << 25
+SHARE_TOKENS, SHARES = 1 << 25, 1 << 13
 #: Entries of the cache of encoded words in each Python worker.
 CACHED_WORDS = 1_000_000
 
-#: A word of letters with full stops or the like behind it, all of which any version of Unicode calls so.
-_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+[.,;!?]*").fullmatch
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,9 +76,12 @@ class Bins:
 class Encoder:
     """Token ids of whole texts by a byte-level BPE file; equal words are encoded once.
 
-    A text is cut before a space and around a line feed that stand alone between other characters.
-    The pattern by which the tokenizer splits a text first has a split at each of these places,
-    whatever follows, so the parts' ids in a row are the text's ids.
+    A text is cut before a space, and before and behind a line feed, that stand alone between other
+    characters. The pattern by which the tokenizer splits a text first has a split at each of these
+    places, whatever follows, so the parts' ids in a row are the text's ids. A byte of 128 or more may
+    belong to white space too, which would stay with what is before it: nothing is cut between two
+    such bytes, nor behind a line feed with one after it. No added token of the vocabulary (a literal
+    <|endoftext|> in a text is its one id, as the library has it) holds a space or a line feed.
     """
 
     def __init__(self, path: str):
@@ -90,36 +89,17 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.letters = self._for_letters(path)
+        if any(c in t.content for t in self.tokenizer.get_added_tokens_decoder().values() for c in " \n"):
+            raise ValueError(f"{path} has added tokens with white space, at which texts are cut")
         self.clear()
 
-    def _for_letters(self, path: str):
-        """The same vocabulary in the library that is faster at single words; None where there is no such file."""
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        if not os.path.exists(ranks):
-            return None
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("words", pat_str=" ?[A-Za-z\u00c0-\u024f]+|[.,;!?]+", mergeable_ranks=known, special_tokens={}).encode_ordinary
-
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _ids(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word. A run of letters, with a mark behind it, is split alike by both libraries."""
-        if self.letters is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        letters = self.letters
-        out = [letters(w) if _PLAIN(w) else None for w in words]
-        other = [k for k, ids in enumerate(out) if ids is None]
-        for k, e in zip(other, self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        return out
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         for i in range(0, len(words), 16384):
@@ -146,7 +126,7 @@ class Encoder:
         alone[at] = False
         alone[at - 1] = False
         cut = alone.copy()
-        cut[1:] |= alone[:-1] & (buf[:-1] == 10)
+        cut[1:] |= alone[:-1] & (buf[:-1] == 10) & ~high[1:]
         cut[at] = True
         cut[0] = True
         return cut
@@ -246,7 +226,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, max_tokens: int = M
 
     cut = written(pieces(docs, path, max_tokens), "pieces")
     tokens = cut.agg(F.sum("length")).first()[0] or 0
-    return packed(cut, max(1, -(-tokens // share_tokens)), max_tokens, open_bins)
+    return packed(cut, min(SHARES, max(1, -(-tokens // share_tokens))), max_tokens, open_bins)
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

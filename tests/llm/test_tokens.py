@@ -1,5 +1,6 @@
 """Packing and the piece tokenizer."""
 
+import functools
 import random
 import zlib
 
@@ -13,22 +14,34 @@ from lindero.llm import packing as p
 from lindero.llm import sptok
 
 
-def whole_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(p.tokenizer_path())
-    t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return Tokenizer.from_file(p.tokenizer_path())
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab éß日😀'!.,\n\t 1  <|>")), max_size=30), min_size=1, max_size=5))
+def whole_ids(text):
+    return np.array([*library().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+
+
+SPACES = "\u0085\u00a0\u1680\u2003\u2028\u202f\u3000\u200b\x1c"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab éß日😀'!.,\n\t 1  <|>", *SPACES, "\n", " ", "<|endoftext|>", "don't", "1234"]), max_size=30).map("".join), min_size=1, max_size=5))
 def test_ids_are_the_tokenizers(texts):
     got = dict(p.documents_ids(pa.record_batch({"text": pa.array(texts)}), None))
     for k, t in enumerate(texts):
         assert got[k].tolist() == whole_ids(t).tolist()
 
 
+@pytest.mark.parametrize("text", ["1\n\xa0", "1\n\xa0 x", "a \xa0 b\n\u3000c", "x\n\u2003\n", "a <|endoftext|>\nb", "<|endoftext|><|endoftext|>", "a\n<|endoftext|> b"])
+def test_ids_of_hard_texts(text):
+    (_, got), *_ = p.documents_ids(pa.record_batch({"text": pa.array([text])}), None)
+    assert got.tolist() == whole_ids(text).tolist()
+
+
 def test_bins_are_best_fit():
     rng = random.Random(2)
     bins, free = p.Bins(100, 8), []  # free: of the open bins
