@@ -43,32 +43,50 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written(), which nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bits of the filter of among(): at most 1,024 bitmaps of 4 kB, whatever the number of ids.
-FILTER_BITS = 1 << 25
+#: Bits of the filter of among(): eight for an id, within these bounds (8 kB to 128 MB in bitmaps of 4 kB).
+FILTER_BITS = 1 << 16, 1 << 30
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc_id, ...) whose doc_id, null included, is among ids (one column, distinct).
+def among(docs: DataFrame, ids: DataFrame, about: int) -> DataFrame:
+    """docs (doc_id, ...) whose doc_id, null included, is among ids (one column, distinct). about: how many ids there are at most.
 
-    Before the join, rows are tested against a bitmap of the ids' hashes, which has a fixed size and is
-    broadcast, so that texts that are not wanted do not travel. It lets some more pass, never fewer.
+    Before the join, rows are tested against a bitmap of the ids' hashes, which has a bounded size and
+    is broadcast, so that texts that are not wanted do not travel. It lets some more pass, never fewer;
+    beyond a thousand million ids most pass, and the join alone decides.
     """
-    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    wanted = ids.select(F.col(ids.columns[0]).alias("wanted_id_"))
-    maps = wanted.select(hashed("wanted_id_").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits_"))
-    rows = docs.withColumn("hash_", hashed("doc_id")).join(F.broadcast(maps), F.bitmap_bucket_number("hash_") == F.col("bucket_"))
-    bit = "shiftright(cast(conv(hex(substring(bits_, cast(bitmap_bit_position(hash_) div 8 + 1 as int), 1)), 16, 10) as int), cast(bitmap_bit_position(hash_) % 8 as int)) & 1"
+    bits = min(max(1 << (8 * max(about, 1) - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    h, bucket, found, wanted_id = (fresh(docs.columns, name) for name in ("hash_", "bucket_", "bits_", "wanted_id_"))
+    wanted = ids.select(F.col(ids.columns[0]).alias(wanted_id))
+    maps = wanted.select(hashed(wanted_id).alias("h")).groupBy(F.bitmap_bucket_number("h").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias(found))
+    rows = docs.withColumn(h, hashed("doc_id")).join(F.broadcast(maps), F.bitmap_bucket_number(h) == F.col(bucket))
+    bit = f"shiftright(cast(conv(hex(substring({found}, cast(bitmap_bit_position({h}) div 8 + 1 as int), 1)), 16, 10) as int), cast(bitmap_bit_position({h}) % 8 as int)) & 1"
     # An inner join on distinct ids: a semi-join would be moved before the test.
-    return rows.where(F.expr(bit) == 1).select(*docs.columns).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id_"))).select(*docs.columns)
+    return rows.where(F.expr(bit) == 1).select(*docs.columns).join(wanted, F.col("doc_id").eqNullSafe(F.col(wanted_id))).select(*docs.columns)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores behind it until none of columns is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def repeats(docs: DataFrame, nulls: bool) -> bool:
+    """Whether some doc_id occurs more than once or, with nulls, is null. Only ids travel."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.lit(nulls) | F.col("doc_id").isNotNull())
+    return not ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,15 +17,19 @@ minhashes the chance of that is under 2 * (1 - s**2)**8, 0.0006 at 0.8 and 0.000
    connected are compared by sketch and, where that passes, by the halves of their shingles' hashes,
    inside a task; only pairs that connect become rows, and these are verified on their full sets. So a
    link whose ends share a table is found even if neither end links to the smallest member. Each pair
-   is compared in the first table that it shares. A key of more than BLOCK members is dealt out as
-   pairs of blocks.
+   is compared in the first table that it shares. Only members outside a key's largest component are
+   compared with all: these are dealt out in blocks of BLOCK, and each block meets each other one and
+   each block of the largest component, whose members do not meet each other.
 
 No bucket is cut or skipped. Texts are shingled where they are read; for verification only documents
 of candidate pairs are read again.
 
 Cases: null, empty and all-space texts have the empty set and link with nothing. With fewer words
 than a shingle has, the whole sequence is the one shingle. Null ids are components of their own
-(null). Repeated ids are one document for links. Empty tables give no rows. Other columns are ignored.
+(null). Rows that share an id are documents of their own, linked only if their texts are; the
+component of each is the smallest id that it reaches. Empty tables give no rows. Other columns are
+ignored by near_duplicates and kept by dedup, which leaves one row of each component, that with the
+smallest id (null last), also of rows with null or repeated ids.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, buffer_of, drop_written, hash_spans, lowered, mixed, slices, table, word_spans, written
+from .common import among, buffer_of, drop_written, fresh, hash_spans, lowered, mixed, repeats, slices, table, word_spans, written
 
 SIDE, WIDTH, BINS = 8, 2, 128
 #: Share of agreeing bins, of those filled in either sketch, that a candidate needs: for a threshold t, t less five deviations of 128 bins.
@@ -62,7 +66,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
     if not len(words):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
     h = np.zeros(len(words), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(words))):
         part = words[k:] * _ODD[k]
         h[: len(words) - k] += (part << np.uint64(k + 1)) | (part >> np.uint64(63 - k))
     h = mixed(h)
@@ -176,7 +180,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["l", "r"])
 
     needed = pairs.select(F.explode(F.array("l", "r")).alias("doc_id")).distinct()
-    rows = among(docs.select("doc_id", "text"), needed)
+    rows = among(docs.select("doc_id", "text"), needed, 2 * pairs.count())
     sets = sets_of(rows, n).groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
     s = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias("s" + c))
     sets = written(sets, "sets")
@@ -200,6 +204,7 @@ def components(links: DataFrame) -> DataFrame:
         drop_written(labels)
         labels = new.select("id", F.col("new").alias("label"))
         if not changed:
+            drop_written(edges)
             return labels
 
 
@@ -274,6 +279,24 @@ def likely_members(members: DataFrame, least: float) -> DataFrame:
     return members.repartition(*_KEY).sortWithinPartitions(*_KEY, "rep").mapInArrow(run, _MEMBER)
 
 
+def dealt(members: DataFrame, block: int | None = None) -> DataFrame:
+    """Members (key, t, rep, component) of keys of several components, by pair of blocks: key, t, lo, hi, block, rep, component.
+
+    The first blocks hold the members outside the key's largest component, the others that component's.
+    A pair of blocks of the largest component is not dealt out, so a key costs its members times the
+    blocks of the members outside, not times all blocks.
+    """
+    block = block or BLOCK
+    sizes = members.groupBy("key", "component").count()
+    size = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("n"))
+    size = size.select("k", F.col("most.component").alias("largest"), *[F.ceil(x / block).cast("int").alias(c) for c, x in (("outer", F.col("n") - F.col("most.count")), ("inner_", F.col("most.count")))])
+    inside, outer, inner = F.col("component") == F.col("largest"), F.col("outer"), F.col("inner_")
+    h = F.xxhash64("rep", "key")
+    rows = members.join(size, F.col("key") == F.col("k")).withColumn("block", F.when(inside, outer + F.pmod(h, inner)).otherwise(F.pmod(h, outer)).cast("int"))
+    others = F.sequence(F.lit(0), F.when(inside, outer).otherwise(outer + inner) - 1)
+    return rows.withColumn("other", F.explode(others)).select("key", "t", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component")
+
+
 def cross_links(members: DataFrame, least: float, percent: int, skip: bool = True) -> DataFrame:
     """Pairs (l, r) of members (_MEMBER and shingles) of one key and different components that hold by the low halves of their shingles' hashes.
 
@@ -321,10 +344,38 @@ def cross_links(members: DataFrame, least: float, percent: int, skip: bool = Tru
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not repeats(rows, nulls=False):
+        return linked(rows, words, percent)
+    # Rows with a repeated id get numbers of their own, in a written table, so that these stay the same.
+    rows = written(rows.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    found = linked(rows.select(F.col("row").alias("doc_id"), "text"), words, percent)
+    found = written(found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part")), "found")
+    known = found.join(rows.select(F.col("row").alias("number"), "doc_id"), F.col("row") == F.col("number"), "left").drop("number")
+    least = known.where("part is not null").groupBy(F.col("part").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    out = known.join(least, F.col("part") == F.col("of"), "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def dedup(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, all columns as they are."""
+    if not repeats(docs, nulls=True):
+        kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("kept_id_"))
+        return docs.join(kept, F.col("doc_id") == F.col("kept_id_"), "left_semi")
+    row = fresh(docs.columns, "row_")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).select("doc_id", "component_id")
+    ids = rows.select(F.col(row).alias("number"), F.col("doc_id").cast("long").alias("id"))
+    first = found.join(ids, F.col("doc_id") == F.col("number")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("first"))
+    return rows.join(first.select(F.col("first.number").alias("kept_id_")), F.col(row) == F.col("kept_id_"), "left_semi").select(*docs.columns)
+
+
+def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates() of docs (doc_id, text) whose ids, but for null ones, occur once."""
     least = max(0.0, percent / 100 - SLACK)
     prints = written(fingerprints(docs, words), "prints")
     reps = written(prints.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    first = prints.join(reps, (prints.fp == reps.fp) & (prints.doc_id == reps.rep)).select("rep", "a", "b", "sketch").dropDuplicates(["rep"])
+    first = prints.join(reps, (prints.fp == reps.fp) & (prints.doc_id == reps.rep)).select("rep", "a", "b", "sketch")
     first = written(first, "first")
     keys = first.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep", (F.col("i") * SIDE + F.col("j")).alias("t"))
 
@@ -359,20 +410,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     rest = labelled(tables.select("key", "rep", "t"), labels)
     several = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n"), F.min("t").alias("t"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same")).where("c1 <> c2")
     # Keys with the same members are compared once, in the first of their tables.
-    several = several.groupBy("n", "same").agg(F.min_by("key", "t").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    again = rest.join(several, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "t", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component")
+    several = several.groupBy("n", "same").agg(F.min_by("key", "t").alias("key")).select("key")
+    mixed_ = written(rest.join(several, "key"), "mixed")
+    again = dealt(mixed_)
     again = again.join(first, "rep").select(*[c.split()[0] for c in _MEMBER.split(", ")])
     again = written(likely_members(again, least), "again")
     needed = again.select(F.col("rep").alias("doc_id")).distinct()
-    sets = sets_of(among(docs.select("doc_id", "text"), needed), words, "<u4").groupBy(F.col("doc_id").alias("rep")).agg(F.min("shingles").alias("shingles"))
+    sets = sets_of(among(docs.select("doc_id", "text"), needed, again.count()), words, "<u4").groupBy(F.col("doc_id").alias("rep")).agg(F.min("shingles").alias("shingles"))
     members = again.join(sets, "rep")
     near = written(cross_links(members, least, percent), "near")
     more = verified(near, docs, words, percent)
     if more.count() < near.count():  # halves of hashes met where whole ones differ: nothing may be left out then
-        more = verified(written(cross_links(members, least, percent, skip=False), "near"), docs, words, percent)
+        drop_written(near, more)
+        near = written(cross_links(members, least, percent, skip=False), "near")
+        more = verified(near, docs, words, percent)
+    drop_written(labels, tables, first, stars, mixed_, again, near)
     labels = components(links.union(more))
+    drop_written(links, more)
     named = written(labelled(reps, labels).select(F.col("fp").alias("of"), "component"), "named")
+    drop_written(labels, reps)
     out = prints.join(named, prints.fp == named.of, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))

@@ -80,6 +80,58 @@ def test_near_duplicates_of_odd_rows(odd, odd_rows, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [4, 5])
+def test_every_short_text_alone(n):
+    """Texts of 0 to 7 words, each as a slice of its own and all in one."""
+    import numpy as np
+
+    texts = [" ".join("abcdefg"[:k]) for k in range(8)] + ["", " ", "a b"]
+    def sets(group):
+        raw = [t.encode() for t in group]
+        values, offs = neardup.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), n)
+        return [values[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])]
+    alone = [sets([t])[0] for t in texts]
+    assert alone == sets(texts) and [len(x) for x in alone] == [len(shingles(t, n)) for t in texts]
+    assert alone[2] == alone[-1] and alone[2] != alone[3]
+
+
+def test_short_batches(spark):
+    rows = [(1, "hello world"), (2, None), (3, "hello world"), (4, "one"), (5, "a b c")]
+    for part in (rows, rows[:1], rows[3:4]):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(part, "doc_id long, text string").repartition(5, "doc_id"), words=4).collect()}
+        assert got == {d: 1 if t == "hello world" else d for d, t in part}
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id are documents of their own."""
+    rng = random.Random(6)
+    long = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(80))
+    a, b, c = long(), long(), long()
+    rows = [(3, a), (3, b), (5, b), (2, a + " more"), (7, c), (7, c), (None, c), (None, a), (9, None), (9, "")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, row string, number int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()), key=str)
+    n = lambda t: len(shingles(t, 5))
+    want = [(3, n(a), 2, False), (3, n(b), 3, True), (5, n(b), 3, False), (2, n(a + " more"), 2, True), (7, n(c), 7, True), (7, n(c), 7, True), (None, n(c), None, True), (None, n(a), None, True), (9, 0, 9, True), (9, 0, 9, True)]
+    assert got == sorted(want, key=str)
+    kept = neardup.dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, b), (2, a + " more"), (7, c), (9, None), (9, "")], key=str)
+
+
+def test_blocks_meet_once(spark):
+    """Every pair of members of different components meets in exactly one group; members of the largest component meet none of their own."""
+    from itertools import combinations
+
+    rows = [(k, 0, 100 * k + r, 1 if r < 9 else r) for k in (1, 2) for r in range(16)]
+    df = neardup.dealt(spark.createDataFrame(rows, "key long, t int, rep long, component long"), block=3)
+    groups = {}
+    for r in df.collect():
+        groups.setdefault((r.key, r.lo, r.hi), []).append(r)
+    met = [tuple(sorted((x.rep, y.rep))) for g in groups.values() for x, y in combinations(g, 2) if x.component != y.component and (x.lo == x.hi or x.block != y.block)]
+    assert sorted(met) == sorted((x[2], y[2]) for x, y in combinations(rows, 2) if x[0] == y[0] and x[3] != y[3])
+    assert sum(len(g) for g in groups.values()) == 2 * (9 * 3 + 7 * 6)
+
+
 def brute_lines(rows, least=linededup.MIN_CHARS):
     def edits(a, b):
         if a == b:
