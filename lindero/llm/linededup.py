@@ -23,8 +23,9 @@ whose large keys Spark can split. Lines travel as hashes (128 bits); only the te
 partners are read again.
 
 Cases: null and empty texts have no lines. A line of any length is compared whole. Null ids come
-first; rows with equal ids are one document. Empty tables give empty results. dedup() keeps all
-columns, other names included.
+first. Rows with a null or repeated id are documents of their own, in some fixed order among equal
+ids: such a table is written with a number for each row first, which is part of a line's place then.
+Empty tables give empty results. dedup() keeps all columns, other names included.
 """
 
 from __future__ import annotations
@@ -34,16 +35,29 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, drop_written, table, written
+from .common import among, drop_written, fresh, repeats, table, written
 from .quality import SPACE
 
 MIN_CHARS, LEAF = 16, 48
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and line, of lines that are not blank."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
-    return found.select("doc_id", "line_no", F.btrim("raw", F.lit(SPACE)).alias("line")).where("line <> ''")
+def placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs, and the columns that tell its rows apart: doc_id, and a number where that is null or repeated somewhere."""
+    if not repeats(docs, nulls=True):
+        return docs, ["doc_id"]
+    copy = fresh([*docs.columns, *_OURS], "copy_")
+    return written(docs.withColumn(copy, F.monotonically_increasing_id()), "copies"), ["doc_id", copy]
+
+
+#: Names that the tables of this module have; a number column is called otherwise.
+_OURS = ("line_no", "raw", "line", "n", "h1", "h2", "halves", "first", "of", "at", "edits")
+
+
+def lines_of(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, line_no (from 0) and line, of lines that are not blank."""
+    named = [F.col("doc_id").cast("long").alias("doc_id"), *ids[1:]]
+    found = docs.select(*named, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
+    return found.select(*ids, "line_no", F.btrim("raw", F.lit(SPACE)).alias("line")).where("line <> ''")
 
 
 def _half_keys(line: Column, n: Column) -> Column:
@@ -56,11 +70,11 @@ def _half_keys(line: Column, n: Column) -> Column:
     return F.array(*out)
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no, two hashes, length and half keys (null for short lines) of each line."""
-    rows = lines_of(docs).withColumn("n", F.length("line"))
+def occurrences(docs: DataFrame, ids: list[str], min_chars: int = MIN_CHARS) -> DataFrame:
+    """at (ids and line_no), two hashes, length and half keys (null for short lines) of each line."""
+    rows = lines_of(docs, ids).withColumn("n", F.length("line"))
     keys = F.when(F.col("n") >= min_chars, _half_keys(F.col("line"), F.col("n")))
-    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "n", keys.alias("halves"))
+    return rows.select(F.struct(*ids, "line_no").alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "n", keys.alias("halves"))
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
@@ -92,12 +106,13 @@ def _variants(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(keys)).alias("key"), "first", "h1", "short")
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, leaf: int = LEAF) -> DataFrame:
+def near_lines(docs: DataFrame, ids: list[str], firsts: DataFrame, leaf: int = LEAF) -> DataFrame:
     """first and of: distinct lines that have an earlier one within one edit. firsts: h1, h2, first, n, halves."""
     keys = firsts.where("halves is not null").select("h1", "first", "n", F.posexplode("halves").alias("t", "key"))
     kept = written(_shared(keys, "key"), "halves")
-    texts = among(docs.select("doc_id", "text"), kept.select(F.col("first.doc_id").alias("d")).distinct())
-    texts = lines_of(texts).select(F.struct("doc_id", "line_no").alias("at"), "line").join(kept.select("first").distinct(), F.col("at").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["at"])
+    wanted = kept.select("first").distinct()
+    texts = among(docs.select(*ids, "text"), kept.select(F.col("first.doc_id").alias("d")).distinct(), kept.count())
+    texts = lines_of(texts, ids).select(F.struct(*ids, "line_no").alias("at"), "line").join(wanted, F.col("at").eqNullSafe(F.col("first")), "left_semi")
     texts = written(texts, "texts")
     rows = kept.join(texts, F.col("first").eqNullSafe(F.col("at")))
     m = F.col("n") + F.floor(F.col("t") / 2).cast("int")
@@ -109,7 +124,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, leaf: int = LEAF) -> DataFram
     longest = kept.agg(F.max("n")).first()[0] or 0
     for _ in range(max(0, math.ceil(math.log2(max(1, (longest + 1) / leaf))))):
         rows = _split(rows, leaf)
-    leaves = _shared(written(rows.withColumn("place", F.xxhash64("ctx", "lo", "m")), "blocks"), "place")
+    blocks = written(rows.withColumn("place", F.xxhash64("ctx", "lo", "m")), "blocks")
+    leaves = _shared(blocks, "place")
     variants = written(_shared(_variants(leaves), "key"), "variants")
     groups = variants.groupBy("key").agg(F.min(F.when(~F.col("short"), F.col("first"))).alias("long"), F.min(F.when(F.col("short"), F.col("first"))).alias("small")).withColumnRenamed("key", "k")
     # With the shorter line in a key, its longer ones are partners of it; without, of each other.
@@ -118,34 +134,38 @@ def near_lines(docs: DataFrame, firsts: DataFrame, leaf: int = LEAF) -> DataFram
     t = lambda c: texts.select(F.col("at").alias(c + "_at"), F.col("line").alias(c + "_line"))
     checked = found.join(t("a"), F.col("first").eqNullSafe(F.col("a_at"))).join(t("b"), F.col("of").eqNullSafe(F.col("b_at")))
     out = written(checked.where(F.levenshtein("a_line", "b_line", 1) == 1).groupBy("first").agg(F.min("of").alias("of")), "near")
-    for x in (kept, texts, variants):
-        drop_written(x)
+    drop_written(kept, texts, blocks, variants)
     return out
 
 
+def dropped(docs: DataFrame, ids: list[str], min_chars: int) -> DataFrame:
+    """at, of, edits: the place (ids and line_no) of each line to drop and of the line that it repeats."""
+    every = written(occurrences(docs, ids, min_chars), "lines")
+    firsts = written(every.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves")), "firsts")
+    near = near_lines(docs, ids, firsts)
+    known = firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
+    copies = every.select("h1", "h2", "at").join(known, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("at > first").select("at", F.col("first").alias("of"), F.lit(0).alias("edits"))
+    return copies.unionByName(near.select(F.col("first").alias("at"), "of", F.lit(1).alias("edits")))
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no, of_doc_id, of_line_no, edits: each line to drop and the line that it repeats."""
-    every = written(occurrences(docs, min_chars), "lines")
-    firsts = written(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves")), "firsts")
-    near = near_lines(docs, firsts)
-    known = firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
-    copies = every.select("h1", "h2", F.struct("doc_id", "line_no").alias("at")).join(known, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("at > first").select("at", F.col("first").alias("of"), F.lit(0).alias("edits"))
-    out = copies.unionByName(near.select(F.col("first").alias("at"), "of", F.lit(1).alias("edits")))
+    out = dropped(*placed(docs.select("doc_id", "text")), min_chars)
     return out.select("at.doc_id", "at.line_no", F.col("of.doc_id").alias("of_doc_id"), F.col("of.line_no").alias("of_line_no"), "edits")
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keep_emptied: bool = False) -> DataFrame:
     """docs without the dropped lines; other columns as they are. A document all of whose lines were dropped goes, unless keep_emptied."""
-    gone = dropped_lines(docs, min_chars).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))
-    name = "text_lines_"
-    rows = F.split(F.col("text"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("gone_lines"))
-    left = docs.withColumn(name, rows)
-    joined = left.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left")
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(name), i)), "\n"))
+    rows, ids = placed(docs)
+    gone_at, gone, lines = (fresh(rows.columns, c) for c in ("gone_at_", "gone_lines_", "text_lines_"))
+    at = dropped(rows.select(*ids, "text"), ids, min_chars).groupBy(F.struct(*[F.col(f"at.{c}").alias(c) for c in ids]).alias(gone_at)).agg(F.collect_set("at.line_no").alias(gone))
+    place = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *ids[1:])
+    joined = rows.withColumn(lines, F.split(F.col("text"), "\n")).join(at, place == F.col(gone_at), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n"))
     out = joined.withColumn("text", text)
     if not keep_emptied:
-        out = out.where(F.col("gone_lines").isNull() | (F.btrim("text", F.lit(SPACE)) != ""))
+        out = out.where(F.col(gone).isNull() | (F.btrim("text", F.lit(SPACE)) != ""))
     return out.select(*docs.columns)
 
 

@@ -184,6 +184,30 @@ def test_lines(spark):
         assert kept[d] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone))
 
 
+def test_lines_of_any_length(spark):
+    """Without a least length, short lines one edit apart are found too."""
+    rng = random.Random(11)
+    rows = [(d, "\n".join("".join(rng.choice("ab1") for _ in range(rng.randint(1, 7))) for _ in range(4))) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in linededup.dropped_lines(df, min_chars=0).collect()} == brute_lines(rows, 0)
+
+
+def test_lines_of_shared_and_null_ids(spark):
+    """No line goes but one that repeats an earlier one, whatever the ids; columns named like ours stay."""
+    own = ["this line occurs nowhere else at all", "another line that occurs only here", "the third line of its own, in a row"]
+    rows = [(1, own[0] + "\nshared by all the rows of the table"), (1, own[1] + "\nshared by all the rows of the table"), (None, own[2] + "\nshared by all the rows of the table"), (None, "shared by all the rows of the tables\nlast words of a row with no id"), (2, "this line occurs nowhere else at al")]
+    df = spark.createDataFrame([(*r, [7], "g", [2], "c") for r in rows], "doc_id long, text string, gone_lines array<int>, gone_id string, text_lines_ array<int>, copy_ string")
+    out = linededup.dedup(df, keep_emptied=True)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert len(got) == 5 and all(r.gone_lines == [7] and r.copy_ == "c" for r in got)
+    text = "\n".join(r.text for r in got)
+    assert all(text.count(x) == 1 for x in own) and text.count("last words of a row with no id") == 1
+    assert text.count("shared by all the rows of the table") == 1 and [r.text for r in got if r.doc_id == 2] == [""]
+    lines = linededup.dropped_lines(df).collect()
+    assert len(lines) == 4 and all(r.edits == 1 for r in lines if r.doc_id == 2)
+
+
 def test_lines_of_odd_rows(odd, none):
     out = linededup.dedup(odd)
     assert out.columns == odd.columns and out.count() <= odd.count()
