@@ -8,13 +8,14 @@ by loopy belief propagation over three kinds of potentials:
 - of distant tokens with an equal or similar value (the same letters and digits, or the same last
   seven digits): these share a label. Each is tied to the one before it, so a value that occurs n
   times makes n - 1 such links.
-Messages go over the graphs of a whole batch at once, ROUNDS times, damped. Tokens whose marginal for
-a kind is at least SURE add spans; neighbours of one kind are one span. Added spans never overlap base
-ones.
+Messages go over the graphs of a whole batch at once, damped, until none changes by more than SETTLED
+(or ROUNDS times, which only messages that swing for ever reach), so a label reaches every occurrence
+of a value, however many lie between. Tokens whose marginal for a kind is at least SURE add spans;
+neighbours of one kind are one span. Added spans never overlap base ones.
 
 The weights are trained by pseudo-likelihood, the base spans' labels as the truth, on the tokens of
-at most SAMPLE_DOCS documents, those with the smallest hashes of their ids, and of these on the
-SAMPLE_TOKENS most frequent distinct situations.
+SAMPLE_DOCS documents, those with the smallest hashes of their ids. Equal situations travel once with
+their number, which weighs them; of more than SAMPLE_TOKENS distinct ones, the most frequent are taken.
 
 Cases: null, empty and digit-free texts have no spans. Texts of any length are read whole; there is
 no limit on tokens. Null ids are kept. Repeated rows get equal spans. With no training tokens the
@@ -39,13 +40,14 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 5  # none, then KINDS
 BUCKETS = 1 << 12
 SAMPLE_DOCS, SAMPLE_TOKENS = 20_000, 50_000
-ROUNDS, DAMP, SURE = 20, 0.3, 0.9
+ROUNDS, SETTLED, DAMP, SURE = 1000, 1e-3, 0.3, 0.9
 #: What equal or similar tokens weigh towards one label before training says otherwise.
 AGREE = 2.0
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match begins where a run of digits does: looking for one inside a run would take quadratic time.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,7 +79,7 @@ def base_spans(text: str) -> list[Span]:
     """The patterns' spans by start, then kind."""
     out = [(a, 0, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -168,8 +170,8 @@ class Field:
         self.chain = np.zeros((LABELS, LABELS))
         self.skip = AGREE
 
-    def train(self, rows: list[tuple[int, list[int], int, int, list[int]]], steps: int = 200, rate: float = 0.5, ridge: float = 1e-3) -> None:
-        """Pseudo-likelihood by full gradients. rows: label, features, labels before and behind (-1: none), labels of linked tokens."""
+    def train(self, rows: list[tuple[int, list[int], int, int, list[int], int]], steps: int = 200, rate: float = 0.5, ridge: float = 1e-3) -> None:
+        """Pseudo-likelihood by full gradients. rows: label, features, labels before and behind (-1: none), labels of linked tokens, how often."""
         if not rows:
             return
         y = np.array([r[0] for r in rows])
@@ -180,6 +182,8 @@ class Field:
             for label in r[4]:
                 linked[k, label] += 1
         truth = np.eye(LABELS)[y]
+        share = np.array([r[5] for r in rows], float)[:, None]
+        share /= share.sum()
         has_b, has_a = before >= 0, behind >= 0
         for _ in range(steps):
             z = self.own[x].sum(1) + self.skip * linked
@@ -187,7 +191,7 @@ class Field:
             z[has_a] += self.chain[:, behind[has_a]].T
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            d = (p - truth) / len(rows)
+            d = (p - truth) * share
             g = np.zeros_like(self.own)
             np.add.at(g, x.reshape(-1), np.repeat(d, x.shape[1], 0))
             self.own -= rate * (g + ridge * self.own)
@@ -211,7 +215,7 @@ class Field:
         source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
         pots = np.concatenate([pots, pots.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-        message = np.zeros((len(source), LABELS))
+        message = np.full((len(source), LABELS), -np.log(LABELS))
 
         def norm(v: np.ndarray) -> np.ndarray:
             top = v.max(-1, keepdims=True)
@@ -222,9 +226,12 @@ class Field:
             out = (belief[source] - message[back])[:, :, None] + pots
             top = out.max(1, keepdims=True)
             new = norm(np.log(np.exp(out - top).sum(1)) + top[:, 0])
+            change = np.abs(np.exp(new) - np.exp(message)).max()
             message = DAMP * message + (1 - DAMP) * new
             belief = unary.copy()
             np.add.at(belief, target, message)
+            if change < SETTLED:
+                break
         return np.exp(norm(belief))
 
     def added(self, graph: Graph, bases: dict[int, list[Span]]) -> dict[int, list[Span]]:
@@ -270,10 +277,8 @@ def batch_spans(column: pa.Array, field: Field) -> dict[int, tuple[str, list[Spa
 
 def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """A field from the base spans of the sample."""
-    spark = docs.sparkSession
     h = F.xxhash64("doc_id")
-    chosen = docs.select(h.alias("h")).where("h is not null").distinct().orderBy("h").limit(sample_docs)
-    last = chosen.agg(F.max("h")).first()[0]
+    last = docs.select(h.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,9 +300,8 @@ def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     field = Field()
     if last is not None:
         found = docs.where(h <= last).select("text").mapInArrow(rows, "label int, x array<int>, before int, behind int, linked array<int>")
-        # Equal tokens count once for each time, but travel once.
         rows_ = found.groupBy(*found.columns).count().orderBy(F.desc("count"), F.xxhash64(*found.columns)).limit(SAMPLE_TOKENS).collect()
-        field.train(sorted((r[0], list(r[1]), r[2], r[3], list(r[4])) for r in rows_))
+        field.train(sorted((r[0], list(r[1]), r[2], r[3], list(r[4]), r[5]) for r in rows_))
     return field
 
 

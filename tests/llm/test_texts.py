@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -33,6 +34,83 @@ def test_base_spans_are_the_patterns():
         assert pii.base_spans(text) == base(text), text
 
 
+@pytest.mark.parametrize("text", ["0" * 5000 + ".1.1.1", "1." + "0" * 9000 + "7.2.255", "1.2.3." + "9" * 6000, "0" * 5000 + "256.1.1.1", "4" * 5000, "+1" + "0" * 9000, "a" * 9000 + "@b.c"])
+def test_base_spans_of_very_long_numbers(text):
+    import sys
+
+    got, limit = pii.base_spans(text), sys.get_int_max_str_digits()
+    try:
+        sys.set_int_max_str_digits(0)
+        assert got == base(text)
+    finally:
+        sys.set_int_max_str_digits(limit)
+
+
+def test_long_runs_take_linear_time():
+    began = time.monotonic()
+    for text in ("4" * 2_000_000, "1.2.3." * 300_000, "+1" + "(" * 2_000_000, "a" * 2_000_000 + "@", "@" * 1_000_000, "+1" * 500_000):
+        pii.base_spans(text)
+    assert time.monotonic() - began < 20
+
+
+def _exact(field, graph):
+    """Marginals by summing over all labellings."""
+    import itertools
+
+    import numpy as np
+
+    n = len(graph.fixed)
+    total = np.zeros((n, pii.LABELS))
+    for labels in itertools.product(*[range(pii.LABELS) if x < 0 else [x] for x in graph.fixed]):
+        score = sum(field.own[graph.features[k], y].sum() for k, y in enumerate(labels) if graph.fixed[k] < 0)
+        score += sum(field.chain[labels[a], labels[b]] for a, b in graph.chain) + field.skip * sum(labels[a] == labels[b] for a, b in graph.skip)
+        for k, y in enumerate(labels):
+            total[k, y] += math.exp(score)
+    return total / total.sum(1, keepdims=True)
+
+
+def _graph(fixed, chain, skip, rng):
+    g = pii.Graph()
+    g.fixed, g.chain, g.skip = fixed, chain, skip
+    g.features = [[int(rng.integers(0, 40)) for _ in range(3)] for _ in fixed]
+    return g
+
+
+def test_messages_give_the_marginals():
+    """Exactly where the links form no ring, and nearly where they do."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(10):
+        field = pii.Field()
+        field.own[:40], field.chain, field.skip = rng.normal(0, 0.7, (40, pii.LABELS)), rng.normal(0, 0.7, (pii.LABELS, pii.LABELS)), 1.5
+        tree = _graph([-1, 4, -1, -1, -1, -1], [(0, 1), (2, 3)], [(1, 2), (3, 4), (4, 5)], rng)
+        assert np.abs(field.marginals(tree) - _exact(field, tree)).max() < 0.01
+        ring = _graph([-1, 4, -1, -1, -1], [(0, 1), (1, 2), (2, 3), (3, 4)], [(0, 2), (2, 4)], rng)
+        assert np.abs(field.marginals(ring) - _exact(field, ring)).max() < 0.15
+
+
+def test_a_label_reaches_every_occurrence():
+    """A value that occurs 400 times, found once by pattern at the start, has its label at the end too."""
+    field = pii.Field()
+    field.skip = 8.0
+    text = "+1 (262) 555-7240 " + "and 555-7240 " * 400
+    graph = pii.Graph()
+    graph.add(0, text, pii.base_spans(text))
+    assert field.marginals(graph)[-1].argmax() == 4
+
+
+def test_training_counts_equal_situations():
+    """n equal rows and one row that stands for n train alike."""
+    import numpy as np
+
+    rows = [(1, [3, 5], -1, 0, [1]), (0, [3, 6], 1, -1, []), (2, [7, 8], 0, -1, [2])]
+    one, many = pii.Field(), pii.Field()
+    one.train([(*r, k) for r, k in zip(rows, (5, 1, 2))])
+    many.train([(*r, 1) for r, k in zip(rows, (5, 1, 2)) for _ in range(k)])
+    assert np.allclose(one.own, many.own) and np.allclose(one.chain, many.chain) and one.skip == pytest.approx(many.skip)
+
+
 def test_private_data(spark, odd, odd_rows, none):
     rng = random.Random(1)
     said = [(10_000 + k, " ".join([f"w{rng.choice('abc')}", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", "and", f"u{k}@mail.com", "vers", f"{k}.0", "etc"])) for k in range(300)]
