@@ -302,5 +302,24 @@ def test_cascade_order_does_not_change_the_verdict(odd):
     assert verdicts[0] == verdicts[1]
 
 
+def test_cascade_is_ordered_by_rejection_per_cost(spark):
+    from pyspark.sql import functions as F
+
+    figures = {"dear": (4.0, 0.8), "cheap": (1.0, 0.3), "idle": (0.1, 0.0)}
+    rows = spark.range(1).select(quality.cascade({k: F.lit(True) for k in figures}, figures).alias("a"), quality.cascade({"dear": F.lit(True), "cheap": F.lit(False), "idle": F.lit(True)}, figures).alias("b"))
+    assert tuple(rows.first()) == ("cheap", "dear")
+    # What comes behind a rule that rejects is not computed: it would raise.
+    figures = {"first": (1.0, 1.0), "second": (1.0, 0.5)}
+    lazy = F.raise_error(F.lit("computed")).cast("boolean")
+    assert spark.range(3).where("id > 0").select(quality.cascade({"first": F.col("id") > 0, "second": lazy}, figures)).collect() == [("first",)] * 2
+
+
+def test_rules_are_measured(spark, none):
+    docs = spark.createDataFrame([("few words",)] * 30 + [(" ".join(f"word{k}" for k in range(80)),)] * 10, "text string")
+    got = quality.measured(docs)
+    assert got["too_few_words"][1] == 0.75 and got["symbols"][1] == 0 and all(s > 0 for s, _ in got.values())
+    assert all(share == 0 for _, share in quality.measured(none).values())
+
+
 def _cascade(text, figures):
     return quality.let(quality.words(text), lambda w: quality.cascade(quality.rules(quality.counts(text, w)), figures))
