@@ -5,12 +5,16 @@ piece has a mark behind another character. So only distinct words are encoded: s
 depth-first order of their trie, and the forward pass over a word goes on from the prefix it shares
 with the word before it.
 
-The model file is a byte-pair one: the path with the best sum of scores is not its encoding. The
-forward pass therefore keeps, for each prefix, the last piece of the prefix's own encoding instead
-of a best sum: it is the longest piece that ends there and that byte-pair merging leaves standing
-next to the last piece before it. For each prefix there is one such piece, so the pass is exact, and
-its states depend on the prefix only, as Viterbi scores do. Words with a run of marks, whose pieces
-tie in score, are merged directly. Characters without a piece become their bytes.
+A unigram model's forward pass keeps, for each prefix, the best sum of scores and the last piece on
+its path (Viterbi); a character without a piece costs what the library charges, the least score less
+UNKNOWN_COST.
+
+The model file at hand is a byte-pair one: the path with the best sum of scores is not its encoding.
+There the forward pass keeps, for each prefix, the last piece of the prefix's own encoding: it is the
+longest piece that ends there and that byte-pair merging leaves standing next to the last piece before
+it. For each prefix there is one such piece, so the pass is exact, and its states depend on the prefix
+only, as Viterbi scores do. Words with a run of marks, whose pieces tie in score, are merged directly,
+by a heap of neighbours. Characters without a piece become their bytes.
 
 Cases: null and empty texts have no pieces. A mark character in a text is read as a space, as the
 format has it, so such a text decodes to spaces there. Ids outside the vocabulary, null and control
@@ -20,6 +24,7 @@ give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +37,38 @@ from .packing import Encoder, tokenizer_path
 
 MARK = "▁"
 MEMO = 2_000_000
+UNKNOWN_COST = 10.0
+
+
+def model_type(path: str) -> int:
+    """What the model file says it is: 1 unigram (where it says nothing), 2 byte-pair. It is field 3 of field 2, in protocol buffers."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                byte = data[at]
+                at += 1
+                out |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    return out
+
+        while at < len(data):
+            key = number()
+            if key & 7 == 0:
+                yield key >> 3, number()
+            else:
+                size = {1: 8, 5: 4}.get(key & 7) or number()
+                yield key >> 3, data[at : at + size]
+                at += size
+
+    with open(path, "rb") as f:
+        trainer = b"".join(v for k, v in fields(f.read()) if k == 2 and isinstance(v, bytes))
+    return next((v for k, v in fields(trainer) if k == 3 and isinstance(v, int)), 1)
 
 
 class Pieces:
@@ -41,6 +78,9 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        kind = model_type(path)
+        if kind not in (1, 2):
+            raise ValueError(f"{path} is neither a unigram nor a byte-pair model")
         n = model.get_piece_size()
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)]
         self.pieces = [model.id_to_piece(i) for i in range(n)]
@@ -49,14 +89,46 @@ class Pieces:
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.unknown = model.unk_id()
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
-        # Only pieces that merging makes of their own characters can end a prefix.
-        self.whole = {p: i for p, i in self.vocab.items() if self.merged(p) == [i]}
-        self.tails = {p[k:] for p in self.whole for k in range(len(p))}
-        self.memo: dict[int, bool] = {}
+        self.prepare(kind == 1)
         self.size = n
 
+    def prepare(self, unigram: bool) -> None:
+        """What the forward pass looks up. In a byte-pair model only pieces that merging makes of their own characters can end a prefix."""
+        self.unigram, self.memo = unigram, {}
+        self.whole = {p: i for p, i in self.vocab.items() if unigram or self.merged(p) == [i]}
+        self.tails = {p[k:] for p in self.whole for k in range(len(p))}
+        self.least = min((self.score[i] for i in self.vocab.values()), default=0.0) - UNKNOWN_COST
+
     def merged(self, text: str) -> list[int]:
         """Byte-pair merging: the best-scored neighbours first, of equal ones the leftmost. A character without a piece is -1 - its code."""
+        return self._merged_long(text) if len(text) > 32 else self._merged_short(text)
+
+    def _merged_long(self, text: str) -> list[int]:
+        """By a heap of neighbours and links over what is left: the time grows as n log n."""
+        vocab, score, n = self.vocab, self.score, len(text)
+        parts: list[str] = list(text)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] >= 0 and (i := vocab.get(parts[k] + parts[after[k]])) is not None:
+                heapq.heappush(heap, (-score[i], k, parts[k], parts[after[k]]))
+
+        for k in range(n):
+            offer(k)
+        while heap:
+            _, k, x, y = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] != x or j < 0 or parts[j] != y:
+                continue  # one of the two has been merged since
+            parts[k], parts[j], after[k] = x + y, "", after[j]
+            if after[k] >= 0:
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [vocab.get(p, -1 - ord(p[0])) for p in parts if p]
+
+    def _merged_short(self, text: str) -> list[int]:
         parts = list(text)
         vocab, score = self.vocab, self.score
         while len(parts) > 1:
@@ -82,6 +154,9 @@ class Pieces:
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """The ids of each of words, which are in order, by one pass over their trie."""
+        if self.unigram:
+            yield from map(self.flat, self.best_paths(words))
+            return
         whole, tails, beside = self.whole, self.tails, self.beside
         before = ""
         last, back = [-1], [0]  # by length of prefix: its last piece (or -1 - code), and where that begins
@@ -117,6 +192,36 @@ class Pieces:
             before = word
             yield self.flat(ids[::-1])
 
+    def best_paths(self, words: list[str]) -> Iterator[list[int]]:
+        """Viterbi: the path of the best sum of scores through each of words, which are in order. Of equal sums the one with the longer last piece."""
+        whole, tails, score = self.whole, self.tails, self.score
+        before = ""
+        best, last, back = [0.0], [-1], [0]  # by length of prefix: its best sum, and the last piece on that path, and where that begins
+        for word in words:
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                shared += 1
+            del best[shared + 1 :], last[shared + 1 :], back[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                top, piece, start = best[end - 1] + self.least, -1 - ord(word[end - 1]), end - 1
+                at = end - 1
+                while at >= 0 and (tail := word[at:end]) in tails:
+                    i = whole.get(tail)
+                    if i is not None and (sum_ := best[at] + score[i]) >= top:
+                        top, piece, start = sum_, i, at
+                    at -= 1
+                best.append(top)
+                last.append(piece)
+                back.append(start)
+            ids, end = [], len(word)
+            while end:
+                ids.append(last[end])
+                end = back[end]
+            before = word
+            yield ids[::-1]
+
     def flat(self, ids: list[int]) -> list[int]:
         """Characters without a piece as their bytes, or the unknown piece where the model has no bytes."""
         if min(ids, default=0) >= 0:

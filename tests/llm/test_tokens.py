@@ -2,6 +2,7 @@
 
 import functools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -111,6 +112,50 @@ def test_pieces_round_trip(odd, odd_rows, none):
     assert sptok.digests(none).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("▁▁▁▁ethaoi日")), max_size=80))
+def test_merging_by_heap(text):
+    pieces = sptok.marked_encoder(None).pieces
+    assert pieces._merged_long(text) == pieces._merged_short(text)
+
+
+def test_long_runs_of_spaces():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=p.tokenizer_path("piece_bpe_32k.model"))
+    began = time.monotonic()
+    for text in (" " * 100_000 + "x", "a" + " " * 50_001 + "b" + " " * 333):
+        ((ids, *_),) = sptok.encoded_rows(pa.array([text]), None)
+        assert ids.tolist() == model.encode(text)
+    assert time.monotonic() - began < 30
+
+
+def test_best_paths():
+    """A unigram model: each word's path has the best sum of scores, found by trying all, whatever stood before it."""
+    import itertools
+
+    rng = random.Random(5)
+    for _ in range(20):
+        vocab = {c: -rng.uniform(1, 9) for c in "▁ab"} | {"".join(rng.choice("▁abc") for _ in range(rng.randint(2, 4))): -rng.uniform(1, 12) for _ in range(12)}
+        pieces = object.__new__(sptok.Pieces)
+        pieces.pieces, pieces.score = list(vocab), list(vocab.values())
+        pieces.vocab = {x: i for i, x in enumerate(vocab)}
+        pieces.prepare(unigram=True)
+        words = sorted({"▁" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(30)})
+        cost = lambda part: vocab.get(part, pieces.least if len(part) == 1 else -float("inf"))
+        for word, ids in zip(words, pieces.best_paths(words)):
+            cuts = (c for k in range(len(word)) for c in itertools.combinations(range(1, len(word)), k))
+            best = max(sum(cost(word[a:b]) for a, b in itertools.pairwise([0, *c, len(word)])) for c in cuts)
+            assert "".join(pieces.pieces[i] if i >= 0 else chr(-1 - i) for i in ids) == word
+            assert sum(pieces.score[i] if i >= 0 else pieces.least for i in ids) == pytest.approx(best)
+
+
+def test_model_type(tmp_path):
+    assert sptok.model_type(p.tokenizer_path("piece_bpe_32k.model")) == 2
+    (tmp_path / "m").write_bytes(b"\x0a\x02xx" + b"\x12\x04\x18\x01\x20\x05")
+    assert sptok.model_type(str(tmp_path / "m")) == 1
+
+
 def test_pieces_need_no_order(odd):
     enc = sptok.marked_encoder(None)
     words = [" the", "the", " thesis", " th", "  x", " 日本", "é"]
