@@ -243,56 +243,98 @@ def write_avi(frames: list[bytes], comment: bytes = b"", width: int = 8 * COLUMN
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def _super_index(data: bytes, at: int, size: int) -> list[tuple[int, int]]:
+    """The frames that an index of indexes at this place leads to (OpenDML)."""
+    out = []
+    _, _, kind, entries = struct.unpack_from("<HBBI", data, at)
+    if kind != 0:
+        raise ValueError("an index that is not one of indexes")
+    for k in range(min(entries, (size - 24) // 16)):
+        (leaf,) = struct.unpack_from("<Q", data, at + 24 + 16 * k)
+        if leaf + 32 > len(data):
+            raise ValueError("an index lies outside the file")
+        longs, _, kind, n, name, base = struct.unpack_from("<HBBI4sQ", data, leaf + 8)
+        if longs != 2 or kind != 1 or leaf + 32 + 8 * n > len(data):
+            raise ValueError("an index of no frames")
+        for offset, length in np.frombuffer(data, "<u4", 2 * n, leaf + 32).reshape(-1, 2).tolist():
+            place, length = base + offset, length & 0x7FFFFFFF
+            if data[place - 8 : place] != name + struct.pack("<I", length) or place + length > len(data):
+                raise ValueError("an index entry does not match its chunk")
+            out.append((place, length))
+    return out
+
+
+def _walked(data: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """The whole video chunks of a movi list, of its rec lists too."""
+    while at + 8 <= end:
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at : at + 4] == b"LIST":
+            yield from _walked(data, at + 12, min(end, at + 8 + size))
+        elif data[at + 2 : at + 4] in (b"dc", b"db") and at + 8 + size <= len(data):
+            yield at + 8, size
+        at += 8 + size + size % 2
+
+
 def read_avi(data: bytes) -> tuple[dict, list[tuple[int, int]]]:
-    """Header fields (fps, width, height, comment) and each video frame's place and size.
+    """Header fields (fps, width, height, comment) and each video frame's place and size, of all RIFF parts of the file.
 
-    The places come from the index, whose entries must point to chunks of the same name and size;
-    without an index, from the chunks of the movi list.
+    The places come from the index of indexes where there is one, else from the first part's index,
+    whose entries must point to chunks of the same name and size; where there is neither, and in
+    further parts, from the chunks of the movi lists.
     """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     head: dict = {"fps": float(FPS), "comment": b""}
-    movi, index = None, None
-    stack = [(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))]
+    movis, index, many = [], None, None
+    parts, at = [], 0
+    while at + 12 <= len(data) and data[at : at + 4] == b"RIFF" and (at == 0 or data[at + 8 : at + 12] == b"AVIX"):
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        parts.append((at + 12, min(len(data), at + 8 + size)))
+        at += 8 + size + size % 2
+    stack, video = parts[::-1], False
     while stack:
         at, end = stack.pop()
         while at + 8 <= end:
             name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
             body = at + 8
+            after = body + size + size % 2
             if name == b"LIST":
                 if data[body : body + 4] == b"movi":
-                    movi = (body, min(end, body + size))
+                    movis.append((body, min(end, body + size)))
                 else:
-                    stack.append((body + 4, min(end, body + size)))
+                    stack += [(after, end), (body + 4, min(end, body + size))]
+                    break
             elif name == b"avih":
                 head["width"], head["height"] = struct.unpack_from("<II", data, body + 32)
-            elif name == b"strh" and data[body : body + 4] == b"vids":
-                scale, rate = struct.unpack_from("<II", data, body + 20)
-                head["fps"] = rate / scale if scale else head["fps"]
+            elif name == b"strh":
+                video = data[body : body + 4] == b"vids"
+                if video:
+                    scale, rate = struct.unpack_from("<II", data, body + 20)
+                    head["fps"] = rate / scale if scale else head["fps"]
+            elif name == b"indx" and video and many is None and size >= 24:
+                many = _super_index(data, body, min(size, end - body))
             elif name == b"ICMT":
                 head["comment"] = data[body : body + size]
-            elif name == b"idx1":
+            elif name == b"idx1" and index is None:
                 index = np.frombuffer(data[body : body + size // 16 * 16], "<u4").reshape(-1, 4)
-            at = body + size + size % 2
-    if movi is None:
+            at = after
+    if not movis:
         raise ValueError("no movi list")
+    if many is not None:
+        return head, many
     places = []
     if index is not None:
-        base = movi[0] if not len(index) or index[0, 2] < movi[0] else 0
+        start, end = movis.pop(0)
+        base = start if not len(index) or index[0, 2] < start else 0
         for name, _, at, size in index.tolist():
             if name & 0xFFFF0000 not in (0x63640000, 0x62640000):  # ..dc, ..db
                 continue
             at += base
-            if data[at : at + 8] != struct.pack("<II", name, size) or at + 8 + size > movi[1]:
+            if data[at : at + 8] != struct.pack("<II", name, size) or at + 8 + size > end:
                 raise ValueError("an index entry does not match its chunk")
             places.append((at + 8, size))
-        return head, places
-    at = movi[0] + 4
-    while at + 8 <= movi[1]:
-        size = int.from_bytes(data[at + 4 : at + 8], "little")
-        if data[at + 2 : at + 4] in (b"dc", b"db") and at + 8 + size <= len(data):
-            places.append((at + 8, size))
-        at += 8 + size + size % 2
+    for start, end in movis:
+        places += _walked(data, start + 4, end)
     return head, places
 
 

@@ -64,6 +64,42 @@ def test_frames_are_jpeg():
         m.read_avi(file[:at] + b"\xff\xff" + file[at + 2 :])
 
 
+def test_files_of_several_parts():
+    """Frames of further RIFF parts, by an index of indexes and without one."""
+    import struct
+
+    s = np.random.default_rng(2).integers(0, 256, (5, m.FRAME)).astype(np.uint8)
+    first, second = (m.encode_avis([x.reshape(-1)], [b""])[0] for x in (s[:3], s[3:]))
+    head, inside = m.read_avi(second)
+    chunks = b"".join(b"00dc" + struct.pack("<I", n) + second[at : at + n] + b"\0" * (n % 2) for at, n in inside)
+    movi = b"LIST" + struct.pack("<I", 4 + len(chunks)) + b"movi" + chunks
+    file = first + b"RIFF" + struct.pack("<I", 4 + len(movi)) + b"AVIX" + movi
+    _, places = m.read_avi(file)
+    assert len(places) == 5 and (m.frames_of(file, places) == s).all()
+    # The same file with an index of indexes in its stream header.
+    strh = first.index(b"strh")
+    gap = 8 + 24 + 32  # of the super-index, with two entries
+    leaves, at = [], len(file) + gap
+    moved = [(p + gap if p > strh else p, n) for p, n in places]
+    for part in (moved[:3], moved[3:]):
+        body = struct.pack("<HBBI4sQI", 2, 0, 1, len(part), b"00dc", 0, 0) + b"".join(struct.pack("<II", p, n) for p, n in part)
+        leaves.append((at, b"ix00" + struct.pack("<I", len(body)) + body))
+        at += len(leaves[-1][1])
+    top = struct.pack("<HBBI4s3I", 4, 0, 0, 2, b"00dc", 0, 0, 0) + b"".join(struct.pack("<QII", p, len(x), 1) for p, x in leaves)
+    strl = first.rindex(b"LIST", 0, strh)
+    hdrl = first.rindex(b"LIST", 0, strl)
+    data = bytearray(file[:strh] + b"indx" + struct.pack("<I", len(top)) + top + file[strh:] + b"".join(x for _, x in leaves))
+    for at in (4, strl + 4, hdrl + 4):
+        data[at : at + 4] = struct.pack("<I", struct.unpack_from("<I", data, at)[0] + gap)
+    # The index stands behind the stream header, as it does in files.
+    strh_size = 8 + struct.unpack_from("<I", first, strh + 4)[0]
+    data[strh : strh + gap + strh_size] = data[strh + gap : strh + gap + strh_size] + data[strh : strh + gap]
+    assert m.read_avi(bytes(data))[1] == moved and (m.frames_of(bytes(data), moved) == s).all()
+    data[leaves[0][0] + 36] ^= 1
+    with pytest.raises(ValueError):
+        m.read_avi(bytes(data))
+
+
 def test_texts_come_back(odd, odd_rows, none):
     got = {r.doc_id: r for r in m.text_media(odd).collect()}
     for doc_id, text, *_ in odd_rows:
