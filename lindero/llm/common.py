@@ -60,19 +60,27 @@ FILTER_BITS = 1 << 16, 1 << 30
 def among(docs: DataFrame, ids: DataFrame, about: int) -> DataFrame:
     """docs (doc_id, ...) whose doc_id, null included, is among ids (one column, distinct). about: how many ids there are at most.
 
-    Before the join, rows are tested against a bitmap of the ids' hashes, which has a bounded size and
-    is broadcast, so that texts that are not wanted do not travel. It lets some more pass, never fewer;
-    beyond a thousand million ids most pass, and the join alone decides.
+    Before the join, rows are tested by likely(), so that texts that are not wanted do not travel.
+    """
+    hit, wanted_id = fresh(docs.columns, "hit_"), fresh(docs.columns, "wanted_id_")
+    wanted = ids.select(F.col(ids.columns[0]).alias(wanted_id))
+    # An inner join on distinct ids: a semi-join would be moved before the test.
+    return likely(docs, "doc_id", wanted, about, hit).where(hit).join(wanted, F.col("doc_id").eqNullSafe(F.col(wanted_id))).select(*docs.columns)
+
+
+def likely(rows: DataFrame, key: str, values: DataFrame, about: int, name: str) -> DataFrame:
+    """rows with a column name: false only where key is not among values (one column). about: how many values there are at most.
+
+    It is a bitmap of the values' hashes, which has a bounded size and is broadcast. It is true for a
+    few other rows too, and beyond a thousand million values for most.
     """
     bits = min(max(1 << (8 * max(about, 1) - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    h, bucket, found, wanted_id = (fresh(docs.columns, name) for name in ("hash_", "bucket_", "bits_", "wanted_id_"))
-    wanted = ids.select(F.col(ids.columns[0]).alias(wanted_id))
-    maps = wanted.select(hashed(wanted_id).alias("h")).groupBy(F.bitmap_bucket_number("h").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias(found))
-    rows = docs.withColumn(h, hashed("doc_id")).join(F.broadcast(maps), F.bitmap_bucket_number(h) == F.col(bucket))
+    h, bucket, found = (fresh(rows.columns, x) for x in ("hash_", "bucket_", "bits_"))
+    maps = values.select(hashed(values.columns[0]).alias("h")).groupBy(F.bitmap_bucket_number("h").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias(found))
     bit = f"shiftright(cast(conv(hex(substring({found}, cast(bitmap_bit_position({h}) div 8 + 1 as int), 1)), 16, 10) as int), cast(bitmap_bit_position({h}) % 8 as int)) & 1"
-    # An inner join on distinct ids: a semi-join would be moved before the test.
-    return rows.where(F.expr(bit) == 1).select(*docs.columns).join(wanted, F.col("doc_id").eqNullSafe(F.col(wanted_id))).select(*docs.columns)
+    joined = rows.withColumn(h, hashed(key)).join(F.broadcast(maps), F.bitmap_bucket_number(h) == F.col(bucket), "left")
+    return joined.select(*rows.columns, F.expr(f"coalesce(({bit}) = 1, false)").alias(name))
 
 
 def fresh(columns: list[str], name: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import likely, table, written
 
 DICT_MAGIC = b"\x5d\x2a\x4d\x18"
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -206,7 +206,8 @@ def archives_of(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFra
     """Archives (archive, content) with a record for each row of pages (page_id, url, html).
 
     Which row of equal payloads is the response is found on their digests alone, summed before they
-    travel; only digests that occur twice are joined back, in a join whose large keys Spark can split.
+    travel. Pages whose digest cannot occur twice, by a bitmap of those that do, are written where
+    they are read; the others are joined, in a join whose large keys Spark can split.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
     first = written(rows.groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1 and response_id is not null").select(F.col("sha").alias("same"), "response_id"), "responses")
@@ -230,8 +231,10 @@ def archives_of(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFra
         if held:
             yield out()
 
-    joined = rows.join(first, rows.sha == first.same, "left").select("page_id", "url", "html", "response_id")
-    return joined.mapInArrow(write, "archive string, content binary")
+    tested = likely(rows, "sha", first.select("same"), first.count(), "twice")
+    alone = tested.where(~F.col("twice")).select("page_id", "url", "html", F.lit(None).cast("long").alias("response_id"))
+    joined = tested.where("twice").join(first, F.col("sha") == F.col("same"), "left").select("page_id", "url", "html", "response_id")
+    return alone.unionByName(joined).mapInArrow(write, "archive string, content binary")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
