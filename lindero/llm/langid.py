@@ -12,7 +12,8 @@ code wins.
 Bounds: the sample is at most SAMPLE_DOCS texts and SAMPLE_BYTES bytes a language, taken by the
 hash of their ids. A text longer than SAMPLE_BYTES is taken only if its language has no shorter one,
 and then the shortest. There may be any number of languages; contexts are those of the sample, so the
-table's size grows with the number of languages, not with the corpus. Bytes that no sampled text has share one symbol.
+table's size does not grow with the corpus. It grows with languages and scripts: where it would exceed
+TABLE_BYTES, the trees are one byte less deep, until it fits. Bytes that no sampled text has share one symbol.
 
 Cases: null texts and texts without a letter are "und" with score 0; a corpus without labels predicts
 "und" for all. Texts of any length are scored whole. Ties go to the first language by name. Rows
@@ -33,12 +34,15 @@ from .common import buffer_of, slices, table
 ORDER = 3
 SAMPLE_DOCS, SAMPLE_BYTES = 500, 1_500_000
 SCORE_SLICE = 1 << 20
+TABLE_BYTES = 1 << 29
+#: Parts in which the sample's texts of a language are ranked before the best of all parts are.
+PARTS = 64
 
 
 class Model:
     """languages; symbol of each byte; context of each triple of symbols; costs in bits."""
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, table_bytes: int = TABLE_BYTES):
         self.languages = sorted(texts)
         used = sorted({b for ts in texts.values() for t in ts for b in set(t)})
         self.a = len(used) + 2  # and one for other bytes, and one before the text
@@ -55,6 +59,10 @@ class Model:
             counts.append(row)
         # Contexts in the union of the trees, by order; order k's context c is number base[k] + its place.
         known = [np.unique(np.concatenate([np.zeros(0, np.int64), *(c // a for c, _ in row)])) if k else np.zeros(1, np.int64) for k, row in enumerate(counts)]
+        while order > 1 and 4 * sum(map(len, known)) * a * len(self.languages) + 4 * self.powers[order] > table_bytes:
+            order -= 1
+            known.pop(), counts.pop(), self.powers.pop()
+        self.order = order
         base = np.cumsum([0, *map(len, known)])
         self.costs = np.zeros((base[-1], a, max(1, len(self.languages))), np.float32)
         for j in range(len(self.languages)):
@@ -128,7 +136,10 @@ class Model:
 def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of the labelled texts of docs (doc_id, text, lang); docs is the training part."""
     ranked = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", F.xxhash64("text")).alias("h"), F.octet_length("text").alias("n"))
-    top = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.greatest("n", F.lit(sample_bytes)), "h"))).where(F.col("k") <= sample_docs)
+    order = F.greatest("n", F.lit(sample_bytes)), "h"
+    for by in (["lang", F.pmod(F.shiftright("h", 32), F.lit(PARTS))], ["lang"]):
+        ranked = ranked.select("lang", "h", "n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("k")).where(F.col("k") <= sample_docs)
+    top = ranked
     chosen, had = [], {}
     for lang, h, n, _ in top.orderBy("lang", "k").collect():
         if had.get(lang, 0) == 0 or had[lang] + n <= sample_bytes:
