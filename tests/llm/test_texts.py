@@ -166,6 +166,18 @@ def test_ppm_costs_are_exact():
     assert got[0, 0] == pytest.approx(want, rel=1e-5)
 
 
+def test_ppm_table_is_bounded():
+    """Where the table would be too large, the trees are less deep, as if they had been from the start."""
+    import numpy as np
+
+    texts = {"a": [b"abracadabra", b"cabbage"], "b": [b"zzzz yyyy xyz"]}
+    whole, less = langid.Model(texts, 3), langid.Model(texts, 2)
+    bound = langid.Model(texts, 3, table_bytes=whole.costs.nbytes - 1)
+    text = np.frombuffer(b"abyss zebra", np.uint8)
+    assert bound.order == 2 and bound.costs.nbytes < whole.costs.nbytes
+    assert np.allclose(bound.lengths(text, np.array([0, 11])), less.lengths(text, np.array([0, 11])))
+
+
 def test_languages(spark, odd, none):
     rng = random.Random(2)
     make = {"xx": "abcdefgh", "yy": "hijklmno"}
@@ -212,6 +224,12 @@ def test_class_scores(spark, odd, odd_rows, none):
     assert brown.class_scores(none).count() == 0
 
 
+def test_many_buckets_give_the_same_scores(spark, odd, monkeypatch):
+    one = sorted(map(tuple, brown.class_scores(odd, classes=6).collect()), key=str)
+    monkeypatch.setattr(brown, "BUCKET_WORDS", 50)
+    assert sorted(map(tuple, brown.class_scores(odd, classes=6).collect()), key=str) == one
+
+
 def test_class_model_sums_to_one():
     import numpy as np
 
