@@ -4,8 +4,7 @@ Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet an
 next one's docs. All but the last return the columns of documents.
 
 Cases: null and empty texts are rejected by the quality rules. A document whose lines all repeat
-earlier ones goes with them. Rows with equal ids are one document to line dedup and
-near-dedup. An empty table gives an empty result at each stage. Further columns are kept until packing.
+earlier ones goes with them. Rows with null or repeated ids are documents of their own. An empty table gives an empty result at each stage. Further columns are kept until packing.
 """
 
 from __future__ import annotations
@@ -34,8 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id_")), "left_semi")
+    return neardup.dedup(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
