@@ -4,6 +4,7 @@ similarity of word sets)."""
 
 from __future__ import annotations
 
+import functools
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grammar
-from .vocabulary import CARDINALS, LONG_STREETS, ORDINALS, STREET_OF, UNIT_OF, WEIGHTS
+from .vocabulary import CARDINALS, LONG_STREETS, STREET_OF, UNIT_OF, WEIGHTS
 
 # Cells that say nothing.
 PLACEHOLDERS = [
@@ -41,23 +42,8 @@ def match_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(fold(c)), "[^A-Z0-9]", "")
 
 
-_CLEAN = [
-    ("[‐-―−_]", "-"),
-    ("\\bN\\s*°\\s*\\.?\\s*(?=\\d)", " # "),
-    ("°", " "),
-    ("\\bNRO?S?\\.?\\s*(?=[\\d#])", " # "),
-    ("\\bNUMERO?S?\\.?\\s*(?=[\\d#])", " # "),
-    ("\\bNUM\\.?\\s*(?=[\\d#])", " # "),
-    ("\\bNO?\\s*\\.\\s*(?=\\d)", " # "),
-    ("\\bNO\\s+(?=\\d)", " # "),
-    ("(?<=\\d)(?:" + "|".join(ORDINALS) + ")\\b", " "),
-    ("#+", " # "),
-    ("-{2,}", "-"),
-    ("/", " "),
-    ("[^\\p{L}\\p{N}_#\\-;,. ]+", " "),
-    ("\\s*-\\s*", " - "),
-    ("\\s+", " "),
-]
+#: The grammar's rewriting rules, in Java's spelling of a letter or digit of any script.
+_CLEAN = [(pattern.replace(r"\w", r"\p{L}\p{N}_"), to) for pattern, to in grammar.REWRITES]
 
 
 def clean(c: Column) -> Column:
@@ -69,17 +55,18 @@ def clean(c: Column) -> Column:
 
 
 #: A well-formed address, as clean() leaves it.
-FAST = "^(CL|KR|AV|AC|AK|DG|TV|PJ|PS|CV|AU|CT) 0*(\\d{1,4})(?: ([A-Z]))? # 0*(\\d{1,4})(?: ([A-Z]))? - (\\d{1,6})$"
+FAST = "^(CL|KR|AV|AC|AK|DG|TV|PJ|PS|CV|AU|CT) 0*(\\d{1,4})( [A-Z])? # 0*(\\d{1,4})( [A-Z])? - (\\d{1,6})$"
 
 
 def canonical_fast(c: Column) -> Column:
-    """The canonical form of well-formed texts, null for others, which take the grammar."""
-    t = clean(c)
-    part = lambda k: F.regexp_extract(t, FAST, k)
-    number = lambda k: F.when(part(k) == "", "0").otherwise(part(k))
-    some = lambda k: F.nullif(part(k), F.lit(""))
-    plate = F.when(F.length(part(6)) < 2, F.lpad(part(6), 2, "0")).otherwise(F.regexp_replace(part(6), "^0+(?=\\d\\d)", ""))
-    return F.when(t.rlike(FAST), F.concat_ws(" ", some(1), number(2), some(3), F.lit("#"), number(4), some(5), F.lit("-"), plate))
+    """The canonical form of well-formed texts, null for others, which take the grammar.
+
+    Each step names its input once, so the rules run once a row: what does not fit becomes the form's
+    constant parts alone, and these become null.
+    """
+    out = F.regexp_replace(clean(c), f"{FAST}|^[\\s\\S]*$", "$1 $2$3 # $4$5 - $6")
+    out = F.regexp_replace(F.regexp_replace(out, "(?<= - )(?=\\d$)", "0"), "(?<= - )0+(?=\\d\\d$)", "")
+    return F.nullif(out, F.lit("  #  - "))
 
 
 def collapsed(c: Column) -> Column:
@@ -265,13 +252,17 @@ _BOOLEAN = {"parse_ok", "via_bis", "cross_bis", "had_hash", "had_plate_sep"}
 ADDRESS = T.StructType([T.StructField(f, T.BooleanType() if f in _BOOLEAN else T.ArrayType(T.StringType()) if f == "notes" else T.StringType()) for f in _FIELDS])
 
 
+@functools.lru_cache(1 << 16)
+def _address(text: str | None) -> tuple:
+    a = grammar.parse(text)
+    row = a.flat() | {"canonical": a.canonical(), "canonical_base": a.canonical(with_complement=False)}
+    return tuple(row[f] for f in _FIELDS)
+
+
 @F.pandas_udf(ADDRESS)
 def parse_address(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        a = grammar.parse(t)
-        rows.append(a.flat() | {"canonical": a.canonical(), "canonical_base": a.canonical(with_complement=False)})
-    return pd.DataFrame(rows, columns=_FIELDS)
+    """The parts of each address; a Python worker parses a text that repeats once."""
+    return pd.DataFrame([_address(t) for t in texts], columns=_FIELDS)
 
 
 @F.pandas_udf(T.DoubleType())
