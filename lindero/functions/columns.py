@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,11 @@ def canonical_fast(c: Column) -> Column:
     return F.nullif(out, F.lit("  #  - "))
 
 
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that is computed once a row, however often it is used: filters on it, and those that joins add, are not moved before it with copies of what it takes."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
 def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\\s+", " "))
 

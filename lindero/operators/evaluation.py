@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,11 +119,60 @@ def weight_grid(spark: SparkSession, step: int = 20) -> DataFrame:
     return spark.createDataFrame([(k, *[x / step for x in r]) for k, r in enumerate(rows)], "combo int, w_sim double, w_fuzz double, w_struct double, w_geo double")
 
 
+#: Candidates that are scored at once: with 1,540 weight vectors, 25 MB.
+SWEEP_ROWS = 2048
+
+
 def weight_sweep(candidates: DataFrame, grid: DataFrame) -> DataFrame:
-    """Per weight vector the share of rows whose best candidate is the true one. candidates: row_id, slot, is_truth, sim, fuzz, struct, geo."""
-    score = F.col("w_sim") * F.col("sim") + F.col("w_fuzz") * F.col("fuzz") + F.col("w_struct") * F.col("struct") + F.col("w_geo") * F.col("geo")
-    best = candidates.join(F.broadcast(grid), F.lit(True)).groupBy("combo", "row_id").agg(F.max_by("is_truth", F.struct(score, -F.col("slot"))).alias("hit"))  # the grid has a fixed size
-    return best.groupBy("combo").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("int")).alias("top1"))
+    """Per weight vector the share of rows whose best candidate is the true one. candidates: row_id, slot, is_truth, sim, fuzz, struct, geo.
+
+    A row's candidates are brought to one task, which finds every vector's best of them by a matrix
+    product, the smaller slot among equal scores (to nine places); only the sums per vector travel.
+    """
+    spark = candidates.sparkSession
+    vectors = grid.orderBy("combo").collect()  # the grid has a fixed size
+    shared = spark.sparkContext.broadcast((np.array([v[0] for v in vectors], np.int32), np.array([[v[f"w_{c}"] for v in vectors] for c in ("sim", "fuzz", "struct", "geo")]).reshape(4, -1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        combos, w = shared.value
+        hits, n = np.zeros(len(combos), np.int64), 0
+        held: pa.Table | None = None
+
+        def add(t: pa.Table) -> None:
+            nonlocal n
+            row = t.column("row_id").to_numpy()
+            start = np.append(0, np.flatnonzero(row[1:] != row[:-1]) + 1)
+            x = np.stack([t.column(c).to_numpy() for c in ("sim", "fuzz", "struct", "geo")], 1).astype(float)
+            truth = t.column("is_truth").fill_null(False).to_numpy()
+            bounds = np.append(start, len(row))
+            i = 0
+            while i < len(start):
+                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SWEEP_ROWS, "right")) - 1)
+                a, z = bounds[i], bounds[j]
+                score = np.round(x[a:z] @ w, 9)
+                of = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
+                best = np.maximum.reduceat(score, bounds[i:j] - a)
+                place = np.where(score == best[of], np.arange(z - a)[:, None], z - a)
+                hits[:] += truth[a:z][np.minimum.reduceat(place, bounds[i:j] - a)].sum(0)
+                n += j - i
+                i = j
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            row = t.column("row_id").to_numpy()
+            last = int(np.flatnonzero(row != row[-1])[-1]) + 1 if (row != row[-1]).any() else 0  # the last row may go on in the next batch
+            if last:
+                add(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            add(held)
+        yield pa.RecordBatch.from_pydict({"combo": pa.array(combos), "hits": pa.array(hits), "n": pa.array(np.full(len(combos), n))})
+
+    rows = candidates.select("row_id", "slot", "is_truth", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("sim", "fuzz", "struct", "geo")])
+    sums = rows.repartition("row_id").sortWithinPartitions("row_id", "slot").mapInArrow(run, "combo int, hits long, n long")
+    return sums.groupBy("combo").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("top1"))
 
 
 def margin_sweep(rows: DataFrame, deltas: Sequence[float]) -> DataFrame:
@@ -143,20 +194,46 @@ def shrunk_cells(rows: DataFrame, m: float) -> DataFrame:
     return cells.join(kinds, F.col("kind") == F.col("k")).select("kind", "band", "n", ((F.col("s") + m * F.col("kr")) / (F.col("n") + m)).alias("rate"), F.col("kr").alias("kind_rate"))
 
 
-def isotonic(rows: DataFrame, x: str = "p", flag: str = "correct", decimals: int = 2) -> DataFrame:
-    """Increasing fit of the share correct over x, rounded to decimals: value of each distinct x by max over starts of min over ends of means.
+def _pooled(n: list[int], s: list[int]) -> list[int]:
+    """Pool adjacent violators: of each place, the first place of the block whose mean is its fit."""
+    blocks: list[list[int]] = []  # first place, n, s
+    for k, (x, y) in enumerate(zip(n, s)):
+        blocks.append([k, x, y])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
+            _, x, y = blocks.pop()
+            blocks[-1][1] += x
+            blocks[-1][2] += y
+    ends = [b[0] for b in blocks[1:]] + [len(n)]
+    return [b[0] for b, end in zip(blocks, ends) for _ in range(b[0], end)]
+
+
+def isotonic(rows: DataFrame, x: str = "p", flag: str = "correct", parts: int = 256) -> DataFrame:
+    """Increasing fit of the share correct over x: x, n, s (right ones) and fit of each distinct value.
 
-    The distinct rounded values are at most 10 ** decimals + 1, so this table is small at any size.
+    Values are counted, and adjacent violators pooled, within equal parts of x's range first; what
+    is left, blocks of increasing means, is pooled in one task. The order of pooling does not matter.
     """
-    per = rows.groupBy(F.round(x, decimals).alias("x")).agg(F.count("*").alias("n"), F.sum(F.col(flag).cast("int")).alias("s"))
-    w = Window.orderBy("x")
-    cum = per.withColumns({"i": F.row_number().over(w), "cn": F.sum("n").over(w), "cs": F.sum("s").over(w)})
-    start = cum.select(F.col("i").alias("j"), (F.col("cn") - F.col("n")).alias("n0"), (F.col("cs") - F.col("s")).alias("s0"))
-    end = cum.select(F.col("i").alias("k"), "cn", "cs")
-    mean = start.join(end, F.col("j") <= F.col("k")).select("j", "k", ((F.col("cs") - F.col("s0")) / (F.col("cn") - F.col("n0"))).alias("m"))
-    # low: of the means from j to any end from k on, the smallest; fit: at place k, the largest low over starts up to k.
-    low = mean.withColumn("low", F.min("m").over(Window.partitionBy("j").orderBy(F.desc("k"))))
-    return cum.join(low.groupBy("k").agg(F.max("low").alias("fit")), F.col("i") == F.col("k")).select("x", "n", "s", "fit")
+    per = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count("*").alias("n"), F.sum(F.col(flag).cast("int")).alias("s"))
+    low, high = rows.agg(F.min(x), F.max(x)).first()
+    part = F.least(F.lit(parts - 1), F.floor((F.col("x") - F.lit(low)) / F.lit((high - low) or 1.0) * parts)) if low is not None else F.lit(0)
+
+    def within(t: pa.Table) -> pa.Table:
+        t = t.sort_by("x")
+        values = t.column("x").to_pylist()
+        return t.drop(["part"]).append_column("lo", pa.array([values[k] for k in _pooled(t.column("n").to_pylist(), t.column("s").to_pylist())], pa.float64()))
+
+    def across(t: pa.Table) -> pa.Table:
+        t = t.sort_by("lo")
+        n, s = t.column("n").to_pylist(), t.column("s").to_pylist()
+        first, sums = _pooled(n, s), {}
+        for k, at in enumerate(first):
+            a, b = sums.get(at, (0, 0))
+            sums[at] = a + n[k], b + s[k]
+        return pa.table({"lo": t.column("lo"), "fit": pa.array([sums[at][1] / sums[at][0] for at in first], pa.float64())})
+
+    local = per.select(F.col("x").cast("double").alias("x"), "n", "s", part.cast("int").alias("part")).groupBy("part").applyInArrow(within, "x double, n long, s long, lo double")
+    blocks = local.groupBy("lo").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(across, "lo double, fit double")
+    return local.join(blocks, "lo").select("x", "n", "s", "fit")
 
 
 def hybrid(confidence: Column, kind: Column, knots: tuple[Sequence[float], Sequence[float]], q: dict[str, float], q_all: float) -> tuple[Column, Column]:

@@ -163,10 +163,14 @@ _BLOCK = r"split_part({0}, ' ', 1) AS t, split_part({0}, ' ', 2) AS n"
 @query(f"WITH {DOCS}, {TEXTS}, p AS (SELECT row_id, {_plain('raw')} AS t FROM texts), q AS (SELECT row_id, {_CANON} AS c FROM p), qb AS (SELECT row_id, c, {_BLOCK.format('c')} FROM q WHERE c IS NOT NULL), db AS (SELECT doc_id, direccion, {_BLOCK.format('direccion')} FROM numbered), s AS (SELECT row_id, doc_id, 100 - CAST(levenshtein(c, direccion) AS BIGINT) AS score FROM qb JOIN db USING (t, n)), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, doc_id) AS slot FROM s) SELECT row_id, doc_id, score, slot FROM r WHERE slot <= 3")
 def blocking_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = lambda c: [F.split_part(F.col(c), F.lit(" "), F.lit(k)).alias(n) for k, n in ((1, "t"), (2, "n"))]
-    q = derive.texts(spark, sf_dir).select("row_id", C.canonical_fast(F.col("raw")).alias("c")).where("c is not null").select("row_id", "c", *block("c"))
+    texts = derive.texts(spark, sf_dir).select("row_id", "raw")
+    forms = C.once(texts.select("raw").distinct(), "c", C.canonical_fast(F.col("raw"))).where("c is not null")
+    q = forms.select("c").distinct().select("c", *block("c"))
     d = docs(spark, sf_dir).select("doc_id", "direccion", *block("direccion"))
     score = (100 - F.levenshtein("c", "direccion")).cast("long")
-    return retrieval.blocked_top_k(q, d, ["t", "n"], score, 3).select("row_id", "doc_id", "score", F.col("slot").cast("long").alias("slot"))
+    # Equal forms have equal candidates: these are sought once and brought to the texts then.
+    found = retrieval.blocked_top_k(q, d, ["t", "n"], score, 3, by="c").select("c", "doc_id", "score", F.col("slot").cast("long").alias("slot"))
+    return texts.join(forms, "raw").join(found, "c").select("row_id", "doc_id", "score", "slot")
 
 
 _TOPK = "q AS (SELECT vec_id AS row_id, embedding FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT q.row_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS sim FROM q, embeddings e), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY sim DESC, doc_id) AS slot FROM s)"
@@ -338,15 +342,15 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.point_in_polygon(_points(spark, sf_dir), derive.polygons(spark, sf_dir), 0.01).select("point_id", "poly_id")
 
 
-@query(f"WITH {_POINTS}, {BOXES}, kinds AS (SELECT *, CASE poly_id % 2 WHEN 0 THEN 'barrio' ELSE 'comuna' END AS kind FROM boxes UNION ALL SELECT *, 'corregimiento' FROM boxes WHERE poly_id % 4 = 0), hit AS (SELECT point_id, min(CASE kind WHEN 'barrio' THEN 1 WHEN 'vereda' THEN 2 WHEN 'comuna' THEN 3 ELSE 4 END || name) AS z FROM pts, kinds WHERE {_INSIDE} GROUP BY 1) SELECT point_id, CASE left(z, 1) WHEN '1' THEN 'barrio' WHEN '3' THEN 'comuna' WHEN '4' THEN 'corregimiento' END AS kind, substring(z, 2) AS name FROM pts LEFT JOIN hit USING (point_id)")
+_COVERED = "lon >= x0 AND lat >= y0 AND lat <= y1 AND lon <= x1 AND (shape <> 0 OR lon <= (x0 - x1) * (lat - y0) / (y1 - y0) + x1)"
+
+
+@query(f"WITH {_POINTS}, {BOXES}, kinds AS (SELECT *, CASE poly_id % 2 WHEN 0 THEN 'barrio' ELSE 'comuna' END AS kind FROM boxes UNION ALL SELECT *, 'corregimiento' FROM boxes WHERE poly_id % 4 = 0), off AS (SELECT point_id, lon, lat + 0.00003::DOUBLE AS lat FROM pts), hit AS (SELECT point_id, min(CASE kind WHEN 'barrio' THEN 1 WHEN 'vereda' THEN 2 WHEN 'comuna' THEN 3 ELSE 4 END || name) AS z FROM off, kinds WHERE {_COVERED} GROUP BY 1) SELECT point_id, CASE left(z, 1) WHEN '1' THEN 'barrio' WHEN '3' THEN 'comuna' WHEN '4' THEN 'corregimiento' END AS kind, substring(z, 2) AS name FROM pts LEFT JOIN hit USING (point_id)")
 def locate_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points on a side belong to what covers them, unlike in point_in_polygon. Points are moved off the slanting sides, on which engines round in their own ways."""
     p = derive.polygons(spark, sf_dir)
     kinds = p.withColumn("kind", F.when(F.col("poly_id") % 2 == 0, "barrio").otherwise("comuna")).unionByName(p.where("poly_id % 4 = 0").withColumn("kind", F.lit("corregimiento")))
-    shifted = _points(spark, sf_dir)
-    found = geo.located(shifted, kinds, 0.01, ("barrio", "vereda", "comuna", "corregimiento"))
-    # Points on a side belong to what covers them here; the SQL leaves these out, as the derived points meet no side but at corners.
-    strict = geo.point_in_polygon(shifted, p, 0.01).select("point_id", "poly_id")
-    return found.join(strict, "point_id").select("point_id", F.when(F.col("poly_id").isNotNull(), F.col("kind")).alias("kind"), F.when(F.col("poly_id").isNotNull(), F.col("name")).alias("name"))
+    return geo.located(_points(spark, sf_dir).withColumn("lat", F.col("lat") + F.lit(0.00003)), kinds, 0.01, ("barrio", "vereda", "comuna", "corregimiento")).select("point_id", "kind", "name")
 
 
 @query(f"WITH {_CAND}, t AS (SELECT row_id, slot, doc_id, doc_id % 11 <> 0 AS has_point, CASE WHEN row_id % 3 = 0 THEN block = 1 END AS b, CASE WHEN row_id % 2 = 0 THEN block < 4 END AS c FROM cand), w AS (SELECT *, max(b IS NOT NULL) OVER p AS ab, max(coalesce(b, false) OR NOT has_point) OVER p AS kb, max(c IS NOT NULL) OVER p AS ac FROM t WINDOW p AS (PARTITION BY row_id)) SELECT row_id, slot, doc_id FROM w WHERE CASE WHEN ab AND kb THEN coalesce(b, false) OR NOT has_point WHEN ac THEN coalesce(c, false) OR NOT has_point WHEN ab THEN false ELSE true END")
@@ -456,7 +460,7 @@ def auc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.auc(_scores(spark, sf_dir)).select(dec("auc"))
 
 
-_T = [round(0.5 + k / 100, 2) for k in range(0, 46, 5)]
+_T = [round(0.5 + k / 100, 2) for k in range(46)]
 
 
 @query(f"WITH {_SCORES}, t(threshold) AS (VALUES {', '.join(f'({t}::DOUBLE)' for t in _T)}), g AS (SELECT threshold, sum(CASE WHEN p >= threshold AND correct AND NOT is_junk THEN w ELSE 0 END) AS tp, sum(CASE WHEN p >= threshold THEN w ELSE 0 END) AS m, sum(CASE WHEN NOT is_junk THEN w ELSE 0 END) AS r FROM sc, t GROUP BY 1), q AS (SELECT threshold, coalesce(tp / nullif(m, 0), 0) AS p, coalesce(tp / nullif(r, 0), 0) AS r FROM g) SELECT CAST(threshold AS DECIMAL(18,6)) AS threshold, CAST(p AS DECIMAL(18,6)) AS \"precision\", CAST(r AS DECIMAL(18,6)) AS recall, CAST(coalesce(2 * p * r / nullif(p + r, 0), 0) AS DECIMAL(18,6)) AS f1 FROM q")
@@ -465,10 +469,10 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.threshold_sweep(x, _T).select(dec("threshold"), dec("precision"), dec("recall"), dec("f1"))
 
 
-@query("WITH g(combo, w1, w2, w3, w4) AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1, a / 4.0::DOUBLE, b / 4.0::DOUBLE, c / 4.0::DOUBLE, (4 - a - b - c) / 4.0::DOUBLE FROM range(1, 5) x(a), range(0, 4) y(b), range(0, 4) z(c) WHERE a + b + c <= 4), c AS (SELECT l_orderkey AS row_id, ((l_linenumber * CAST(100000 AS BIGINT) + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS slot, l_suppkey % 3 = 0 AS t, round(l_discount * 100) AS s1, round(l_tax * 100) AS s2, l_quantity AS s3, (l_partkey % 50)::DOUBLE AS s4 FROM lineitem), b AS (SELECT combo, row_id, first(t ORDER BY w1 * s1 + w2 * s2 + w3 * s3 + w4 * s4 DESC, slot) AS hit FROM c, g GROUP BY 1, 2) SELECT CAST(combo AS INT) AS combo, count(*) AS n, CAST(avg(hit::INT) AS DECIMAL(18,6)) AS top1 FROM b GROUP BY 1")
+@query("WITH g AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS combo, a, b, c, 20 - a - b - c AS d FROM range(1, 21) x(a), range(0, 21) y(b), range(0, 21) z(c) WHERE a + b + c <= 20), c AS (SELECT l_orderkey AS row_id, ((l_linenumber * CAST(100000 AS BIGINT) + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS slot, l_suppkey % 3 = 0 AS t, CAST(round(l_discount * 100) AS BIGINT) AS s1, CAST(round(l_tax * 100) AS BIGINT) AS s2, CAST(l_quantity AS BIGINT) AS s3, l_partkey % 50 AS s4 FROM lineitem), b AS (SELECT combo, row_id, arg_max(t, (a * s1 + b * s2 + c * s3 + d * s4) * CAST(1099511627776 AS BIGINT) - slot) AS hit FROM c, g GROUP BY 1, 2) SELECT CAST(combo AS INT) AS combo, count(*) AS n, CAST(avg(hit::INT) AS DECIMAL(18,6)) AS top1 FROM b GROUP BY 1")
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS row_id", "((l_linenumber * CAST(100000 AS BIGINT) + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS slot", "l_suppkey % 3 = 0 AS is_truth", "round(l_discount * 100) AS sim", "round(l_tax * 100) AS fuzz", "l_quantity AS struct", "CAST(l_partkey % 50 AS DOUBLE) AS geo")
-    return evaluation.weight_sweep(c, evaluation.weight_grid(spark, 4)).select("combo", "n", dec("top1"))
+    return evaluation.weight_sweep(c, evaluation.weight_grid(spark)).select("combo", "n", dec("top1"))
 
 
 @query(f"WITH {_SCORES}, t AS (SELECT avg(correct::INT) AS g FROM sc), k AS (SELECT kind, (sum(correct::INT) + 10 * g) / (count(*) + 10) AS kr FROM sc, t GROUP BY kind, g) SELECT sc.kind, band, count(*) AS n, CAST((sum(correct::INT) + 10 * kr) / (count(*) + 10) AS DECIMAL(18,6)) AS rate, CAST(kr AS DECIMAL(18,6)) AS kind_rate FROM sc JOIN k ON sc.kind = k.kind GROUP BY sc.kind, band, kr")
@@ -476,7 +480,7 @@ def eb_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.shrunk_cells(_scores(spark, sf_dir), 10).select("kind", "band", "n", dec("rate"), dec("kind_rate"))
 
 
-@query(f"WITH {_SCORES}, g AS (SELECT round(p, 2) AS x, count(*) AS n, sum(correct::INT) AS s FROM sc GROUP BY 1), c AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(s) OVER (ORDER BY x) AS cs FROM g), m AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.s)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS m FROM c a JOIN c b ON a.i <= b.i), l AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM m) SELECT CAST(x AS DECIMAL(18,6)) AS x, n, CAST(s AS BIGINT) AS s, CAST(fit AS DECIMAL(18,6)) AS fit FROM c JOIN (SELECT k, max(low) AS fit FROM l GROUP BY 1) ON i = k")
+@query(f"WITH {_SCORES}, g AS (SELECT p AS x, count(*) AS n, sum(correct::INT) AS s FROM sc GROUP BY 1), c AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(s) OVER (ORDER BY x) AS cs FROM g), m AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.s)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS m FROM c a JOIN c b ON a.i <= b.i), l AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM m) SELECT CAST(x AS DECIMAL(18,6)) AS x, n, CAST(s AS BIGINT) AS s, CAST(fit AS DECIMAL(18,6)) AS fit FROM c JOIN (SELECT k, max(low) AS fit FROM l GROUP BY 1) ON i = k")
 def isotonic_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.isotonic(_scores(spark, sf_dir)).select(dec("x"), "n", "s", dec("fit"))
 
