@@ -164,8 +164,9 @@ def plate_agrees(a: Column, b: Column) -> Column:
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres between two points on a sphere; null where a coordinate is null or no number."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(F.isnan(a), None).when(a > 1, 1.0).otherwise(a)))
 
 
 def to_metric(lon: Column, lat: Column, lon0: float = -74.07750791666666, lat0: float = 4.596200416666666, false_east: float = 1e6, false_north: float = 1e6) -> tuple[Column, Column]:
@@ -249,6 +250,16 @@ def reason_stem(c: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(kept["t"]), F.lit("")), F.lit("(vacio)"))
 
 
+def zone_of(polygon: Column, told: Column, code: Column) -> Column:
+    """The zone of a match: of the polygon that covers it, else as the text says, else by its code; blanks do not count."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (polygon, told, code)])
+
+
+def query_text(canonical: Column, raw: Column, most: int = 40) -> Column:
+    """What is sought for a text: its canonical form, else the cleaned text, cut to what an encoder reads."""
+    return F.left(F.coalesce(F.nullif(canonical, F.lit("")), clean(F.coalesce(raw, F.lit("")))), F.lit(most))
+
+
 # ---- Arrow functions ----------------------------------------------------------------------------
 
 _STREET = ["type", "number", "letters", "suffix", "suffix_letters", "bis", "quadrant"]

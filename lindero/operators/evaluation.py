@@ -310,3 +310,86 @@ def nested_leave_one_out(rows: DataFrame, features: Sequence[str], label: str, g
 def ships(new: dict[str, float], old: dict[str, float], tolerance: float = 0.0) -> bool:
     """Whether a calibration replaces another: a lower Brier score and no worse calibration error."""
     return new["brier"] < old["brier"] and new["ece"] <= old["ece"] + tolerance
+
+
+# ---- against a truth and against another geocoder ------------------------------------------------
+
+# Words of rural addresses and of units inside a lot, and the families of failures.
+RURAL = ("PANCE", "NAVARRO", "PICHINDE", "ELVIRA", "LEONERA", "GOLONDRINAS", "SALADITO", "FELIDIA", "MONTEBELLO", "VILLACARMELO", "HORMIGUERO", "CORREGIMIENTO", "CGTO", "VEREDA", "VDA")
+UNITS = ("AP", "TO", "BLQ", "CA", "LT", "MZ", "INT", "CONJ", "ED", "PH", "OF")
+NO_ANSWER = "(no answer)"
+
+
+def recall_at(rows: DataFrame, ks: Sequence[int] = (1, 5, 20)) -> DataFrame:
+    """One row: n, and the share of rows (gt, ids) whose truth is among the first k, for each k."""
+    known = rows.where(F.col("gt").isNotNull())
+    return known.agg(F.count("*").alias("n"), *[F.avg(F.coalesce(F.array_contains(F.slice("ids", 1, k), F.col("gt")), F.lit(False)).cast("int")).alias(f"recall_{k}") for k in ks])
+
+
+def run_totals(rows: DataFrame, samples: int = 5) -> DataFrame:
+    """Per status and level: n, and of errors up to so many reasons, the smallest rows' first. A task passes on that many only."""
+    level = F.coalesce(F.nullif("nivel_precision", F.lit("")), F.lit("(vacio)"))
+    per = rows.groupBy("estado", level.alias("nivel_precision")).agg(F.count("*").alias("n"))
+    errors = rows.where("estado = 'ERROR'").select("row_id", "motivo").orderBy("row_id").limit(samples).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "motivo"))), lambda x: x["motivo"]).alias("errors"))
+    return per.join(F.broadcast(errors), F.lit(True)).withColumn("errors", F.when(F.col("estado") == "ERROR", F.col("errors")).otherwise(F.array().cast("array<string>")))  # one row
+
+
+def external_agreement(rows: DataFrame, by: str = "dataset") -> DataFrame:
+    """Per group how ours (canonical, lat, lon, matched) agrees with another geocoder's answer (other, other_lat, other_lon)."""
+    ours, theirs = (F.trim(F.coalesce(c, F.lit(""))) for c in ("canonical", "other"))
+    both = F.col("other_lat").isNotNull() & F.col("lat").isNotNull()
+    d = F.when(both, C.haversine_m(F.col("other_lat"), F.col("other_lon"), F.col("lat"), F.col("lon")))
+    yes = lambda c: F.avg(c.cast("int"))
+    return rows.groupBy(by).agg(
+        F.count("*").alias("n"), yes(F.col("other").isNotNull()).alias("answered"), yes(theirs != "").alias("normalized"), yes(F.col("other_lat").isNotNull()).alias("located"), yes(F.coalesce("matched", F.lit(False))).alias("matched"),
+        yes((ours == theirs) & (ours != "")).alias("exact"), yes((ours != "") & (C.match_key(ours) == C.match_key(theirs))).alias("same_key"), F.count_if(both).alias("both_located"),
+        F.median(d).alias("median_m"), yes(d <= 50).alias("within_50"), yes(d <= 100).alias("within_100"),
+    )
+
+
+def accuracy_by_class(rows: DataFrame, of: str = "other_class") -> DataFrame:
+    """Of rows with a truth, accuracy per class of another geocoder's answer."""
+    return rows.where("has_gt").groupBy(F.coalesce(of, F.lit(NO_ANSWER)).alias(of)).agg(
+        F.count("*").alias("n"), share("top1").alias("top1"), share("top5").alias("top5"), share("correct_manzana").alias("manzana"), F.median("dist_m").alias("median_m"), F.avg("confidence").alias("confidence")
+    )
+
+
+def field_agreement(rows: DataFrame, a: Column, b: Column, by: str = "dataset", names: Sequence[str] = ("via_type", "via_number", "via_letters", "cross_number", "plate")) -> DataFrame:
+    """Per group the share of rows that parse on both sides, and of these the share in which each part is the same (absent in both included)."""
+    both = a["parse_ok"] & b["parse_ok"]
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(both.cast("int")).alias("both_parse_ok"), *[F.avg(F.when(both, a[n].eqNullSafe(b[n]).cast("int"))).alias(n) for n in names])
+
+
+def failure_family(raw: Column, parse_ok: Column, notes: Column, canonical: Column, comuna: Column, gt_comuna: Column, dist_m: Column) -> Column:
+    """What kind of failure a wrong first candidate is. notes: joined."""
+    said = F.upper(F.coalesce(raw, F.lit("")))
+    rural = said.rlike("|".join(RURAL))
+    text = F.concat(F.lit(" "), F.coalesce(canonical, F.lit("")), F.lit(" "))
+    unread = F.when(rural, "unparseable: rural / corregimiento").when(F.coalesce(notes, F.lit("")).rlike("no_alphabetic_content|empty"), "unparseable: no address content").otherwise("unparseable: free text / non-address")
+    return (
+        F.when(~parse_ok, unread)
+        .when(rural, "rural / corregimiento (outside the catalogue)")
+        .when(text.rlike(f" ({'|'.join(UNITS)}) "), "condominium / lote complement")
+        .when(~text.contains(" # "), "missing cross number")
+        .when(gt_comuna.isNotNull() & ~comuna.eqNullSafe(gt_comuna), "wrong comuna (geographic confusion)")
+        .when(dist_m <= 150, "near miss: neighbouring parcel")
+        .otherwise("other: letter/number mismatch")
+    )
+
+
+def reference_quality(rows: DataFrame, of: str = "other_class") -> DataFrame:
+    """Of rows with a truth, per class of another geocoder's answer: how often both name the same address, and how far apart their points are."""
+    d = C.haversine_m(F.col("gt_lat"), F.col("gt_lon"), F.col("other_lat"), F.col("other_lon"))
+    same = C.match_key(F.coalesce("gt_address", F.lit(""))) == C.match_key(F.coalesce("other", F.lit("")))
+    return rows.where("has_gt").groupBy(F.coalesce(of, F.lit(NO_ANSWER)).alias(of)).agg(
+        F.count("*").alias("n"), F.avg(same.cast("int")).alias("same_address"), F.count(d).alias("n_points"), F.median(d).alias("median_m"), F.percentile(d, F.lit(0.9)).alias("p90_m"), F.avg((d <= 25).cast("int")).alias("within_25")
+    )
+
+
+def distance_buckets(rows: DataFrame, edges: Sequence[float], distance: str = "dist_m") -> DataFrame:
+    """Rows per bucket of distances (low, high]: the first bucket takes what is at most the first edge, the last what is beyond all."""
+    d = C.clean_double(F.col(distance))
+    k = F.lit(len(edges))
+    for i, e in reversed(list(enumerate(edges))):
+        k = F.when(d <= e, i).otherwise(k)
+    return rows.where(d.isNotNull()).groupBy(k.alias("bucket")).agg(F.count("*").alias("n"), F.min(d).alias("least"), F.max(d).alias("most"))

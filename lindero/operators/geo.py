@@ -183,3 +183,29 @@ def polygons_wkb(rings: list[list[list[float]]]) -> bytes:
 
     parts = ring_polygons(rings)
     return one(parts[0]) if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(map(one, parts))
+
+
+def within_buffer(points: DataFrame, polygons: DataFrame, size: float, buffer_m: float, key: str = "point_id", poly: str = "poly_id") -> DataFrame:
+    """key and poly of each polygon that covers a point, or is within buffer_m of it (111,000 metres a degree)."""
+    most = buffer_m / 111_000
+    near = _in_cell(points, size).join(cells(polygons, size, most).select("cx", "cy", poly, "sides"), ["cx", "cy"])
+    return near.where(covered(F.col("lon"), F.col("lat"), F.col("sides")) | (distance(F.col("lon"), F.col("lat"), F.col("sides")) <= most)).select(key, poly).distinct()
+
+
+def spacing(points: DataFrame, size: float) -> DataFrame:
+    """One row: quartiles of the distance to the nearest other point. points: id, x, y."""
+    d = nearest(points, points, 1, size).select("d")
+    return d.agg(F.count("*").alias("n"), *[F.percentile("d", F.lit(p)).alias(n) for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))])
+
+
+def with_truth(samples: DataFrame, parcels: DataFrame, docs: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """samples (row_id, lon, lat) with the parcel that holds the point, its address, and the document of that address: gt_parcel, gt_address, gt_doc_id, each null where there is none.
+
+    parcels (poly_id, direccion); docs (doc_id, direccion), whose addresses are compared with spaces collapsed, the first document of an address.
+    """
+    from ..functions.columns import collapsed
+
+    held = point_in_polygon(samples, polygons, size, key="row_id").withColumnRenamed("poly_id", "gt_parcel")
+    told = held.join(parcels.select(F.col("poly_id").alias("pp"), collapsed(F.col("direccion")).alias("gt_address")), F.col("gt_parcel") == F.col("pp"), "left").drop("pp")
+    first = docs.groupBy(collapsed(F.col("direccion")).alias("da")).agg(F.min("doc_id").alias("gt_doc_id"))
+    return told.join(first, F.col("gt_address") == F.col("da"), "left").drop("da")

@@ -92,3 +92,27 @@ def corner_neighbours(docs: DataFrame, seed: int, n: int = 2) -> DataFrame:
     pairs = docs.select("doc_id", "via", "cross", "plate").where("via <> cross").join(o, ["via", "cross", "plate"])
     order = F.md5(F.concat_ws("|", "doc_id", "neg_doc_id", F.lit(seed)))
     return pairs.withColumn("slot", F.row_number().over(Window.partitionBy("doc_id").orderBy(order))).where(F.col("slot") <= n).select("doc_id", "neg_doc_id", "slot")
+
+
+def same_block_pairs(docs: DataFrame, seed: int, slots: int = 2, block: str = "manzana") -> DataFrame:
+    """For each document others of its block, by slot from 0, never itself: those that follow it in a seeded order, in a circle. doc_id, slot, neg_doc_id.
+
+    A block of one document gives none; one with fewer others than slots repeats them. It is a join on
+    place in the order, so a block costs as many rows as it has documents, times the slots.
+    """
+    order = Window.partitionBy(block).orderBy(F.md5(F.concat_ws("|", "doc_id", F.lit(seed))), "doc_id")
+    d = docs.where(F.col(block).isNotNull()).select("doc_id", F.col(block).alias("b"), F.row_number().over(order).alias("at"))
+    sizes = d.groupBy(F.col("b").alias("sb")).agg(F.count("*").alias("size")).where("size > 1")
+    sized = d.join(sizes, F.col("b") == F.col("sb")).drop("sb")
+    looks = sized.withColumn("slot", F.explode(F.array(*map(F.lit, range(slots)))))
+    step = F.col("slot") % (F.col("size") - 1) + 1
+    looks = looks.withColumn("want", (F.col("at") - 1 + step) % F.col("size") + 1)
+    others = d.select(F.col("b").alias("ob"), F.col("at").alias("oat"), F.col("doc_id").alias("neg_doc_id"))
+    return looks.join(others, (F.col("b") == F.col("ob")) & (F.col("want") == F.col("oat"))).select("doc_id", "slot", "neg_doc_id")
+
+
+def only_gold(rows: DataFrame, name: str = "gt_quality") -> DataFrame:
+    """Rows of gold quality; it is an error if none was told."""
+    if name not in rows.columns:
+        raise ValueError(f"no column {name}: label_quality() gives it")
+    return rows.where(F.col(name) == "gold")

@@ -469,7 +469,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.threshold_sweep(x, _T).select(dec("threshold"), dec("precision"), dec("recall"), dec("f1"))
 
 
-@query("WITH g AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS combo, a, b, c, 20 - a - b - c AS d FROM range(1, 21) x(a), range(0, 21) y(b), range(0, 21) z(c) WHERE a + b + c <= 20), c AS (SELECT l_orderkey AS row_id, ((l_linenumber * CAST(100000 AS BIGINT) + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS slot, l_suppkey % 3 = 0 AS t, CAST(round(l_discount * 100) AS BIGINT) AS s1, CAST(round(l_tax * 100) AS BIGINT) AS s2, CAST(l_quantity AS BIGINT) AS s3, l_partkey % 50 AS s4 FROM lineitem), b AS (SELECT combo, row_id, arg_max(t, (a * s1 + b * s2 + c * s3 + d * s4) * CAST(1099511627776 AS BIGINT) - slot) AS hit FROM c, g GROUP BY 1, 2) SELECT CAST(combo AS INT) AS combo, count(*) AS n, CAST(avg(hit::INT) AS DECIMAL(18,6)) AS top1 FROM b GROUP BY 1")
+@query("WITH g AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS combo, a, b, c, 20 - a - b - c AS d FROM range(1, 21) x(a), range(0, 21) y(b), range(0, 21) z(c) WHERE a + b + c <= 20), c AS (SELECT l_orderkey AS row_id, ((l_linenumber * CAST(100000 AS BIGINT) + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS slot, l_suppkey % 3 = 0 AS t, CAST(round(l_discount * 100) AS BIGINT) AS s1, CAST(round(l_tax * 100) AS BIGINT) AS s2, CAST(l_quantity AS BIGINT) AS s3, l_partkey % 50 AS s4 FROM lineitem), b AS (SELECT combo, row_id, max(((a * s1 + b * s2 + c * s3 + d * s4) * CAST(1099511627776 AS BIGINT) - slot) * 2 + t::INT) & 1 AS hit FROM c, g GROUP BY 1, 2) SELECT CAST(combo AS INT) AS combo, count(*) AS n, CAST(avg(hit::INT) AS DECIMAL(18,6)) AS top1 FROM b GROUP BY 1")
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS row_id", "((l_linenumber * CAST(100000 AS BIGINT) + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS slot", "l_suppkey % 3 = 0 AS is_truth", "round(l_discount * 100) AS sim", "round(l_tax * 100) AS fuzz", "l_quantity AS struct", "CAST(l_partkey % 50 AS DOUBLE) AS geo")
     return evaluation.weight_sweep(c, evaluation.weight_grid(spark)).select("combo", "n", dec("top1"))

@@ -3,7 +3,7 @@
 import pytest
 from oracle import compared
 
-from lindero.plans import catalogue
+from lindero.plans import catalogue, reports  # noqa: F401 - reports adds its queries to the catalogue
 
 SF = "/root/testdata/sf0.001"
 
