@@ -368,7 +368,7 @@ def failure_family(raw: Column, parse_ok: Column, notes: Column, canonical: Colu
     unread = F.when(rural, "unparseable: rural / corregimiento").when(F.coalesce(notes, F.lit("")).rlike("no_alphabetic_content|empty"), "unparseable: no address content").otherwise("unparseable: free text / non-address")
     return (
         F.when(~parse_ok, unread)
-        .when(rural, "rural / corregimiento (outside the catalogue)")
+        .when(rural, "rural / corregimiento (not in urbano_terreno)")
         .when(text.rlike(f" ({'|'.join(UNITS)}) "), "condominium / lote complement")
         .when(~text.contains(" # "), "missing cross number")
         .when(gt_comuna.isNotNull() & ~comuna.eqNullSafe(gt_comuna), "wrong comuna (geographic confusion)")
