@@ -15,6 +15,7 @@ from .plans.pipeline import normalize
 from .sources import readers, sinks
 from .sources.errors import DatasetError
 from .sources.mapping import Mapping, applied, load_config, merged, ranked_names
+from .sources.tables import kept
 
 
 def session() -> SparkSession:
@@ -31,11 +32,15 @@ def run_normalize(spark: SparkSession, a: argparse.Namespace, catalogue: DataFra
     docs = catalogue if catalogue is not None else collapse(spark.read.parquet(options["catalogue"]))
     inside = rows.where(~F.col("outside"))
     result = normalize(inside.select(F.col("row_id_").alias("row_id"), "raw"), docs, threshold=options.get("threshold", 0.73), delta=options.get("ambiguity_delta", 0.0), min_struct=options.get("min_struct", 0.6))
-    joined = rows.drop("raw").join(result, rows.row_id_ == result.row_id, "left").orderBy("row_id_")
-    out = joined.withColumn("estado", F.when(F.col("outside"), "FUERA_DE_AREA").otherwise(F.col("estado"))).drop("row_id", "row_id_", "outside")
+    joined = rows.drop("raw").join(result, rows.row_id_ == result.row_id, "left")
+    status = F.when(F.col("outside"), "FUERA_DE_AREA").otherwise(F.col("estado"))
+    if options.get("on_error") == "raise":
+        status = F.when(status == "ERROR", F.raise_error(F.col("motivo"))).otherwise(status)
+    # Written once, so that sorting and counting match nothing again.
+    done = kept(joined.withColumn("estado", status).drop("row_id", "outside"), "normalized")
     path = options.get("output") or sinks.default_path(options["input"])
-    sinks.write(out, path)
-    counts = {r["estado"]: r["count"] for r in result.groupBy("estado").count().collect()}
+    sinks.write(done.orderBy("row_id_").drop("row_id_"), path)
+    counts = {r["estado"]: r["count"] for r in done.groupBy("estado").count().collect()}
     return {"output": path, "rows": sum(counts.values()), "by_status": counts, "warnings": found.warnings}
 
 
@@ -65,6 +70,7 @@ def parser() -> argparse.ArgumentParser:
                 s.add_argument(option)
             s.add_argument("--parts", nargs="*")
             s.add_argument("--limit", type=int)
+            s.add_argument("--on-error", choices=("row", "raise"))
             for option in ("--threshold", "--ambiguity-delta", "--min-struct"):
                 s.add_argument(option, type=float)
     return p

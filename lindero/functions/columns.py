@@ -260,6 +260,32 @@ def query_text(canonical: Column, raw: Column, most: int = 40) -> Column:
     return F.left(F.coalesce(F.nullif(canonical, F.lit("")), clean(F.coalesce(raw, F.lit("")))), F.lit(most))
 
 
+# The symbols an encoder reads, numbered from 2 (0 pads, 1 stands for any other), and how many it reads.
+SYMBOLS, MAX_CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 #-.,/'()|", 48
+
+
+def char_codes(c: Column, most: int = MAX_CODES) -> Column:
+    """A text (already in capitals) as so many symbol numbers, cut or padded; a null text is all padding."""
+    text = F.left(F.coalesce(c, F.lit("")), F.lit(most))
+    place = lambda x: F.when(F.instr(F.lit(SYMBOLS), x) > 0, F.instr(F.lit(SYMBOLS), x) + 1).otherwise(1)
+    codes = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), place)
+    return F.concat(codes, F.array_repeat(F.lit(0), most - F.size(codes)))
+
+
+def weighted_place(candidates: Column) -> Column:
+    """The mean (lon, lat) of candidates (score, lon, lat), weighted by their positive scores; null where none has a place and a score."""
+    known = F.filter(candidates, lambda x: x["lon"].isNotNull() & x["lat"].isNotNull() & (x["score"] > 0))
+    total = lambda f: F.aggregate(known, F.lit(0.0), lambda s, x: s + f(x))
+    weight = F.nullif(total(lambda x: x["score"]), F.lit(0.0))
+    return F.struct(*[(total(lambda x, n=n: x["score"] * x[n]) / weight).alias(n) for n in ("lon", "lat")])
+
+
+def short_message(c: Column, most: int = 200) -> Column:
+    """A message in one line, cut, with dots where something was cut off."""
+    text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " "))
+    return F.concat(F.left(text, F.lit(most)), F.when(F.length(text) > most, "...").otherwise(""))
+
+
 # ---- Arrow functions ----------------------------------------------------------------------------
 
 _STREET = ["type", "number", "letters", "suffix", "suffix_letters", "bis", "quadrant"]
@@ -268,9 +294,18 @@ _BOOLEAN = {"parse_ok", "via_bis", "cross_bis", "had_hash", "had_plate_sep"}
 ADDRESS = T.StructType([T.StructField(f, T.BooleanType() if f in _BOOLEAN else T.ArrayType(T.StringType()) if f == "notes" else T.StringType()) for f in _FIELDS])
 
 
+#: How the only note of a text starts whose reading failed.
+FAILED = "error: "
+
+
 @functools.lru_cache(1 << 16)
 def _address(text: str | None) -> tuple:
-    a = grammar.parse(text)
+    try:
+        a = grammar.parse(text)
+    except MemoryError:
+        raise
+    except Exception as e:  # one text must not end the job: its row tells what failed
+        return tuple(False if f in _BOOLEAN else [f"{FAILED}{type(e).__name__}: {e}"] if f == "notes" else None for f in _FIELDS)
     row = a.flat() | {"canonical": a.canonical(), "canonical_base": a.canonical(with_complement=False)}
     return tuple(row[f] for f in _FIELDS)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -32,12 +34,18 @@ def collapse(parcels: DataFrame) -> DataFrame:
     return numbered(docs, "objectid", "doc_id")
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Dense numbers from 0 in the order of a column of distinct values."""
-    ranged = df.repartitionByRange(order).withColumn("part_", F.spark_partition_id())
-    local = ranged.withColumn("k_", F.row_number().over(Window.partitionBy("part_").orderBy(order)))
-    before = ranged.groupBy("part_").count().withColumn("before_", F.coalesce(F.sum("count").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part_", "before_")
-    return local.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("k_") - 1).drop("part_", "k_", "before_")  # a row per partition
+def running(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """The sum of value over all rows before, in the order of columns of distinct values: sums within ranges plus the ranges' offsets, so no task sees all rows."""
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranged = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
+    local = ranged.withColumn("within_", F.coalesce(F.sum(value).over(ahead(Window.partitionBy("part_").orderBy(*order))), F.lit(0)))
+    before = ranged.groupBy("part_").agg(F.sum(value).alias("s_")).select("part_", F.coalesce(F.sum("s_").over(ahead(Window.orderBy("part_"))), F.lit(0)).alias("before_"))
+    return local.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("within_")).drop("part_", "within_", "before_")  # a row per partition
+
+
+def numbered(df: DataFrame, order: str | Sequence[str], name: str) -> DataFrame:
+    """Dense numbers from 0 in the order of columns of distinct values."""
+    return running(df, [order] if isinstance(order, str) else order, F.lit(1), name)
 
 
 def first_by_key(docs: DataFrame, key: str = "key", order: str = "doc_id") -> DataFrame:

@@ -104,6 +104,7 @@ def decided(rows: DataFrame, threshold: float, max_soft: int = 1, delta: float =
     ladder = [
         (F.col("outside"), "FUERA_DE_AREA", F.concat(F.lit("municipio distinto de Cali: '"), "municipality", F.lit("'"))),
         (F.col("placeholder"), "SIN_MATCH", F.lit("dato vacio o marcador sin informacion")),
+        (F.startswith(F.get("notes", F.lit(0)), F.lit(C.FAILED)), "ERROR", C.short_message(F.substr(F.get("notes", F.lit(0)), F.lit(len(C.FAILED) + 1)))),
         (~F.col("parse_ok"), "NO_PARSEABLE", F.coalesce(F.nullif(F.concat_ws("; ", "notes"), F.lit("")), F.lit("gramatica de direccion no reconocida"))),
         (F.col("gated").isNotNull(), "SIN_MATCH", F.concat(F.lit("candidatos fuera de "), "gated")),
         (F.col("score").isNull() | (clipped < threshold), "SIN_MATCH", low),

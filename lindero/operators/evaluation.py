@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .catalogue import numbered, running
 from .decision import STATUSES
 
 
@@ -72,9 +73,22 @@ def confusion(rows: DataFrame, truth: str, predicted: str, values: Sequence[str]
     return rows.groupBy(truth).pivot(predicted, list(values)).count().na.fill(0)
 
 
-def equal_bins(rows: DataFrame, bins: int, order: Sequence[str | Column]) -> DataFrame:
-    """Equal-count bins, the remainder in the first ones. Calibration sets are small: a window over all rows."""
-    return rows.withColumn("bin", F.ntile(bins).over(Window.orderBy(*order)))
+def equal_bins(rows: DataFrame, bins: int, order: Sequence[str]) -> DataFrame:
+    """rows with bin, from 1: equal-count bins in the order of columns of distinct values, the remainder in the first ones."""
+    n, k = F.col("n_"), F.col("k_")
+    size, rest = F.floor(n / bins), n % bins
+    long = rest * (size + 1)  # rows in the bins that hold one more
+    at = F.when(k < long, F.floor(k / (size + 1))).otherwise(rest + F.floor((k - long) / F.greatest(size, F.lit(1))))
+    counted = numbered(rows, order, "k_").join(F.broadcast(rows.agg(F.count("*").alias("n_"))), F.lit(True))  # one row
+    return counted.withColumn("bin", (at + 1).cast("int")).drop("n_", "k_")
+
+
+def empirical_cdf(rows: DataFrame, value: str) -> DataFrame:
+    """Per distinct value x: n, and the share of rows at most x. Missing values do not count."""
+    x = C.clean_double(F.col(value))
+    per = rows.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("n"))
+    total = per.agg(F.sum("n").alias("all_"))
+    return running(per, ["x"], F.col("n"), "below_").join(F.broadcast(total), F.lit(True)).select("x", "n", ((F.col("below_") + F.col("n")) / F.col("all_")).alias("share"))  # one row
 
 
 def brier_and_ece(rows: DataFrame, bins: int = 5, order: Sequence[str] = ("p", "id")) -> DataFrame:
@@ -91,8 +105,7 @@ def brier_and_ece(rows: DataFrame, bins: int = 5, order: Sequence[str] = ("p", "
 def auc(rows: DataFrame, score: str = "p", flag: str = "correct") -> DataFrame:
     """Area under the ROC curve by average ranks, from counts per distinct score."""
     per = rows.groupBy(score).agg(F.count_if(F.col(flag)).alias("pos"), F.count_if(~F.col(flag)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("w", F.col("pos") * (below + F.col("neg") / 2)).agg((F.sum("w") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    return running(per, [score], F.col("neg"), "below").withColumn("w", F.col("pos") * (F.col("below") + F.col("neg") / 2)).agg((F.sum("w") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def threshold_sweep(rows: DataFrame, thresholds: Sequence[float]) -> DataFrame:

@@ -231,3 +231,33 @@ def op_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = augment.frequencies(d.where("lang <> 'en'"), "text").select(*[F.col(n).alias("m_" + n) for n in names])
     both = augment.frequencies(d.where("lang = 'en'"), "text").select(*names).join(F.broadcast(made), F.lit(True))  # one row each
     return both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), augment.scale(F.col(n), F.col("m_" + n)).alias("r")) for n in names])).alias("x")).select("x.name", dec("x.r", "ratio"))
+
+
+_SYMBOLS = C.SYMBOLS.replace("'", "''")
+
+
+@query(f"WITH {TEXTS}, u AS (SELECT row_id, left(upper(strip_accents(raw)), 48) AS t FROM texts WHERE raw IS NOT NULL) SELECT row_id, array_to_string(list_transform(range(1, 49), lambda i: CASE WHEN i > length(t) THEN 0 WHEN position(substr(t, CAST(i AS INT), 1) IN '{_SYMBOLS}') > 0 THEN position(substr(t, CAST(i AS INT), 1) IN '{_SYMBOLS}') + 1 ELSE 1 END), ',') AS codes FROM u")
+def char_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.texts(spark, sf_dir).where("raw is not null").select("row_id", F.array_join(C.char_codes(F.upper(C.fold(F.col("raw")))).cast("array<string>"), ",").alias("codes"))
+
+
+@query("SELECT CAST(l_quantity AS DOUBLE) AS x, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY CAST(l_quantity AS DOUBLE)) / sum(count(*)) OVER () AS DECIMAL(18,6)) AS share FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1")
+def empirical_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.empirical_cdf(view(spark, sf_dir, "lineitem"), "l_quantity").select("x", "n", dec("share"))
+
+
+_PLACES = "c AS (SELECT l_orderkey AS row_id, l_discount::DOUBLE AS score, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE -76.5::DOUBLE + l_partkey % 100 / 1000.0::DOUBLE END AS lon, 3.4::DOUBLE + l_suppkey % 100 / 1000.0::DOUBLE AS lat FROM lineitem)"
+
+
+@query(f"WITH {_PLACES}, s AS (SELECT row_id, sum(score) FILTER (WHERE score > 0 AND lon IS NOT NULL) AS w, sum(score * lon) FILTER (WHERE score > 0 AND lon IS NOT NULL) AS x, sum(score * lat) FILTER (WHERE score > 0 AND lon IS NOT NULL) AS y FROM c GROUP BY 1) SELECT row_id, CAST(x / w AS DECIMAL(18,9)) AS lon, CAST(y / w AS DECIMAL(18,9)) AS lat FROM s")
+def predicted_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's place from its candidates, in place of a trained head. Each order has at most seven line items."""
+    score, lon, lat = F.col("l_discount").cast("double"), F.when(F.col("l_linenumber") % 5 != 0, F.lit(-76.5) + (F.col("l_partkey") % 100) / F.lit(1000.0)), F.lit(3.4) + (F.col("l_suppkey") % 100) / F.lit(1000.0)
+    found = view(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.collect_list(F.struct(score.alias("score"), lon.alias("lon"), lat.alias("lat"))).alias("c"))
+    place = found.select("row_id", C.weighted_place(F.col("c")).alias("p"))
+    return place.select("row_id", *[F.col("p")[n].cast("decimal(18,9)").alias(n) for n in ("lon", "lat")])
+
+
+@query(r"SELECT doc_id, left(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), 200) || CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) > 200 THEN '...' ELSE '' END AS message FROM documents")
+def short_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "documents").select("doc_id", C.short_message(F.col("text")).alias("message"))
