@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.hashing import nearest_by_md5
 
 
 class LeakageError(ValueError):
@@ -86,12 +92,43 @@ def band_neighbours(docs: DataFrame, face: list[str], most: int, n: int) -> Data
     return near.withColumn("slot", F.row_number().over(Window.partitionBy("doc_id").orderBy("delta", "other_no", "neg_doc_id"))).where(F.col("slot") <= n).select("doc_id", "neg_doc_id", "delta", "slot")
 
 
+#: Documents of a corner that are compared at once with as many others.
+CORNER_LIST = 2048
+
+
 def corner_neighbours(docs: DataFrame, seed: int, n: int = 2) -> DataFrame:
-    """Documents with the same plate whose via and cross are swapped: doc_id, neg_doc_id, slot."""
-    o = docs.select(F.col("doc_id").alias("neg_doc_id"), F.col("via").alias("cross"), F.col("cross").alias("via"), "plate")
-    pairs = docs.select("doc_id", "via", "cross", "plate").where("via <> cross").join(o, ["via", "cross", "plate"])
-    order = F.md5(F.concat_ws("|", "doc_id", "neg_doc_id", F.lit(seed)))
-    return pairs.withColumn("slot", F.row_number().over(Window.partitionBy("doc_id").orderBy(order))).where(F.col("slot") <= n).select("doc_id", "neg_doc_id", "slot")
+    """Documents with the same plate whose via and cross are swapped, the first n in a seeded order: doc_id, neg_doc_id, slot.
+
+    A corner's documents travel in lists of about CORNER_LIST. Each list meets every list of the
+    opposite corner in one row, where all pairs are ranked; only the first n of a list leave it, so no
+    pair is stored.
+    """
+    corner = ["via", "cross", "plate"]
+    kind = docs.schema["doc_id"].dataType
+    said = F.coalesce(F.concat(F.col("doc_id").cast("string"), F.lit("|")), F.lit(""))
+    d = docs.select("doc_id", *corner, said.alias("said")).where("via <> cross and plate is not null")
+    sizes = d.groupBy(*corner).agg(F.ceil(F.count("*") / CORNER_LIST).cast("int").alias("lists"))
+    # Corners without an opposite one leave here; lists_ is how many lists the opposite one has.
+    facing = sizes.select(F.col("via").alias("cross"), F.col("cross").alias("via"), "plate", F.col("lists").alias("lists_"))
+    dealt = d.join(sizes.join(facing, corner), corner).withColumn("list", F.expr("pmod(xxhash64(said), lists)"))
+    lists = dealt.groupBy(*corner, "list").agg(F.collect_list(F.struct("doc_id", "said")).alias("docs"), F.first("lists_").alias("lists_"))
+    asked = lists.select(*corner, F.col("list").cast("int").alias("list"), F.col("docs").alias("a"))
+    # A list goes to each list of the opposite corner, so a large corner is many rows of many tasks.
+    others = lists.select(F.col("via").alias("cross"), F.col("cross").alias("via"), "plate", F.explode(F.sequence(F.lit(0), F.col("lists_") - 1)).alias("list"), F.col("docs").alias("b"))
+    pairs = asked.join(others, [*corner, "list"]).select("a", "b")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = (batch.column(c)[k].values for c in ("a", "b"))
+                left, right = ([x.encode() for x in v.field("said").to_pylist()] for v in (a, b))
+                best = list(nearest_by_md5(left, [x + str(seed).encode() for x in right], n))
+                i, j, order = zip(*best)
+                yield pa.RecordBatch.from_pydict({"doc_id": a.field("doc_id").take(pa.array(i)), "neg_doc_id": b.field("doc_id").take(pa.array(j)), "order": pa.array(order, pa.binary())})
+
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("neg_doc_id", kind), T.StructField("order", T.BinaryType())])
+    best = pairs.mapInArrow(rank, schema)
+    return best.withColumn("slot", F.row_number().over(Window.partitionBy("doc_id").orderBy("order"))).where(F.col("slot") <= n).select("doc_id", "neg_doc_id", "slot")
 
 
 def same_block_pairs(docs: DataFrame, seed: int, slots: int = 2, block: str = "manzana") -> DataFrame:

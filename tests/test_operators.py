@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lindero.functions import columns as C
+from lindero.functions.hashing import nearest_by_md5
 from lindero.operators import augment, evaluation, geo, retrieval, splits
 from lindero.sources.readers import geometry_centre, wkb_geometry
 
@@ -72,3 +74,32 @@ def test_snapped(spark):
     points = spark.createDataFrame([(1, 1.4, 0.5), (2, 2.7, 0.5), (3, 9.0, 9.0), (4, 2.0, 0.5)], "point_id long, lon double, lat double")
     got = {r.point_id: (r.poly_id, round(r.d, 6)) for r in geo.snapped(points, polygons, 0.5, 0.5).collect()}
     assert got == {1: (1, 0.4), 2: (2, 0.3)}
+
+
+def test_md5_of_pairs():
+    rng = random.Random(4)
+    left = [b"%d|" % rng.randrange(10 ** rng.randrange(1, 12)) for _ in range(30)] + [b"", b"x" * 50, "ñ|".encode()]
+    right = [b"%d|7" % rng.randrange(10 ** rng.randrange(1, 12)) for _ in range(90)] + [b"", b"7", b"y" * 70]
+    for others in (right, right[:-1], right[:1], []):
+        got = {}
+        for i, j, digest in nearest_by_md5(left, others, 2):
+            got.setdefault(i, []).append((digest, others[j]))
+        for i, x in enumerate(left):
+            assert sorted(got.get(i, []))[:2] == sorted((hashlib.md5(x + y).digest(), y) for y in others)[:2]
+
+
+def test_corners_in_lists(spark, monkeypatch):
+    monkeypatch.setattr(splits, "CORNER_LIST", 16)
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(3), rng.randrange(3), rng.randrange(2)) for k in range(400)] + [(400, None, 1, 0), (401, 1, 2, None)]
+    got = {}
+    found = splits.corner_neighbours(spark.createDataFrame(rows, "doc_id long, via long, cross long, plate long"), 7, 3)
+    for r in found.collect():
+        got.setdefault(r.doc_id, []).append((r.slot, r.neg_doc_id))
+    for k, via, cross, plate in rows:
+        others = [j for j, v, c, p in rows if None not in (via, cross, plate) and (v, c, p) == (cross, via, plate) and via != cross]
+        want = sorted(others, key=lambda j: hashlib.md5(f"{k}|{j}|7".encode()).hexdigest())[:3]
+        assert [o for _, o in sorted(got.get(k, []))] == want
+    # All pairs of a corner are ranked where its lists meet, none is sorted or dealt as a row.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("MapInArrow") < plan.index("Join")
