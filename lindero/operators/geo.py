@@ -7,6 +7,8 @@ the few polygons that the exact test is run on.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,37 +117,81 @@ def gated(candidates: DataFrame, tiers: list[str], escalate: bool = False) -> Da
     return out.withColumn("kept", F.coalesce(passes, F.lit(False))).where("kept").drop("kept", "tier_")
 
 
+def _gap(v: Column, low: Column, high: Column) -> Column:
+    return F.greatest(low - v, v - high, F.lit(0.0))
+
+
+def _length(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
+#: Others in a leaf of nearest() on average, and the boxes that the search begins with at most.
+LEAF, ROOTS = 4, 64
+
+
 def nearest(points: DataFrame, others: DataFrame, k: int, size: float, same: bool = True) -> DataFrame:
     """The k nearest others (id, x, y) of each point (id, x, y), exactly, itself left out if same: id, other, d, slot.
 
-    Rings of cells are searched around each point, one more each round; a point is done once it has k
-    others no farther than the rings reach. Only points that are not done go on.
+    Others are dealt to cells of at most size and of LEAF or so on average. A point that has k others
+    within a cell's width in the nine cells around it is done. For those that are not, the cells are
+    the leaves of a quadtree of boxes around what is in them: from the top down, a point keeps the
+    boxes that are no farther than k others surely are, and meets the others of the leaves that are
+    left. Where and how dense points and others lie does not matter. Only the first others of one
+    place, by id, can be among k.
     """
     spark = points.sparkSession
-    cell = lambda df: df.withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")})
-    o = cell(others).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy").persist()
-    todo, out, reach = cell(points).select("id", "x", "y", "cx", "cy"), None, 1
-    box = o.agg(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
-    if box[0] is None:
+    most = k + 1 if same else k
+    leaf = max(LEAF, most)
+    placed = others.where("x is not null and y is not null").select(F.col("id").alias("other"), F.col("x").cast("double").alias("ox"), F.col("y").cast("double").alias("oy"))
+    asked = points.where("x is not null and y is not null").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    first = placed.withColumn("n_", F.row_number().over(Window.partitionBy("ox", "oy").orderBy("other"))).where(F.col("n_") <= most).drop("n_").persist()
+    n, x0, x1, y0, y1 = first.agg(F.count("*"), F.min("ox"), F.max("ox"), F.min("oy"), F.max("oy")).first()
+    if not n:
         return spark.createDataFrame([], "id long, other long, d double, slot int")
-    while True:
-        shift = F.sequence(F.lit(-reach), F.lit(reach))
-        near = todo.withColumn("dx", F.explode(shift)).withColumn("dy", F.explode(shift)).select("id", "x", "y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-        pairs = near.join(o, ["cx", "cy"])
+    # Cells of half the size hold a quarter: the mean over occupied cells says when they are small enough.
+    cell = lambda c, low, at: F.floor((F.col(c) - low) / at).cast("long")
+    wide = max(x1 - x0, y1 - y0)
+    size = min(size, wide) or 1.0
+    while wide / size < 1 << 40:
+        held = first.select(cell("ox", x0, size).alias("cx"), cell("oy", y0, size).alias("cy")).distinct().count()
+        if n <= held * leaf * 4:
+            break
+        size /= max(2.0, 2.0 ** int(math.log2(n / held / leaf) / 2))
+    leaves = first.withColumns({"cx": cell("ox", x0, size), "cy": cell("oy", y0, size)}).persist()
+
+    def best(pairs: DataFrame) -> DataFrame:
         if same:
             pairs = pairs.where(F.col("id") != F.col("other"))
-        pairs = pairs.withColumn("d", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))
-        top = pairs.withColumn("slot", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("slot") <= k).select("id", "other", "d", "slot")
-        whole = reach > max(box[0], box[1]) + 1
-        sure = top.groupBy("id").agg(F.count("*").alias("n_"), F.max("d").alias("far_")).where((F.col("n_") == k) & (F.col("far_") <= reach * size))
-        done = top if whole else top.join(sure, "id", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        if whole:
-            return out
-        left = todo.join(sure, "id", "left_anti").persist()
-        if not left.limit(1).count():
-            return out
-        todo, reach = left, reach * 2
+        pairs = pairs.withColumn("d", _length(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))
+        return pairs.withColumn("slot", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("slot") <= k).select("id", "other", "d", "slot")
+
+    around = asked.where(F.col("x").between(x0 - size, x1 + size) & F.col("y").between(y0 - size, y1 + size))
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    looks = around.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select("id", "x", "y", (cell("x", x0, size) + F.col("dx")).alias("cx"), (cell("y", y0, size) + F.col("dy")).alias("cy"))
+    top = best(looks.join(leaves, ["cx", "cy"])).persist()
+    # A little less than a cell's width: cells are found by a division that rounds.
+    done = top.groupBy("id").agg(F.count("*").alias("n_"), F.max("d").alias("far_")).where((F.col("n_") == k) & (F.col("far_") <= 0.999 * size)).select("id")
+    asked = asked.join(done, "id", "left_anti").persist()
+    if asked.isEmpty():
+        return top
+    box = [F.sum("n").alias("n"), F.min("xa").alias("xa"), F.max("xz").alias("xz"), F.min("ya").alias("ya"), F.max("yz").alias("yz")]
+    levels = [leaves.select("cx", "cy", F.lit(1).alias("n"), F.col("ox").alias("xa"), F.col("ox").alias("xz"), F.col("oy").alias("ya"), F.col("oy").alias("yz")).groupBy("cx", "cy").agg(*box).persist()]
+    while levels[-1].count() > ROOTS:
+        levels.append(levels[-1].groupBy(F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy")).agg(*box).persist())
+    boxes = ["cx", "cy", "n", "xa", "xz", "ya", "yz"]
+    found = asked.crossJoin(F.broadcast(levels[-1].select(*boxes)))
+    by_point = Window.partitionBy("id", "x", "y")
+    for level in reversed(levels):
+        if level is not levels[-1]:
+            up = level.select(F.shiftright("cx", 1).alias("px"), F.shiftright("cy", 1).alias("py"), *boxes)
+            found = found.select("id", "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py")).join(up, ["px", "py"])
+        far = _length(F.greatest(F.abs(F.col("x") - F.col("xa")), F.abs(F.col("x") - F.col("xz"))), F.greatest(F.abs(F.col("y") - F.col("ya")), F.abs(F.col("y") - F.col("yz"))))
+        near = _length(_gap(F.col("x"), F.col("xa"), F.col("xz")), _gap(F.col("y"), F.col("ya"), F.col("yz")))
+        found = found.withColumns({"far": far, "near": near})
+        found = found.withColumn("sure", F.sum("n").over(by_point.orderBy("far").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        reach = F.min(F.when(F.col("sure") >= most, F.col("far"))).over(by_point)
+        found = found.withColumn("reach", reach).where("reach is null or near <= reach").select("id", "x", "y", "cx", "cy")
+    return top.join(done, "id", "left_semi").unionByName(best(found.join(leaves, ["cx", "cy"])))
 
 
 def ring_polygons(rings: list[list[list[float]]]) -> list[list[list[list[float]]]]:

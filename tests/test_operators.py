@@ -30,6 +30,31 @@ def test_nearest_is_exact(spark):
         assert [o for _, o in sorted(got[i])] == [j for _, j in want]
 
 
+def _k_nearest(points, others, k, same):
+    rows = []
+    for i, x, y in points:
+        near = sorted((((x - a) * (x - a) + (y - b) * (y - b)) ** 0.5, j) for j, a, b in others if not same or j != i)[:k]
+        rows += [(i, j, slot + 1) for slot, (_, j) in enumerate(near)]
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_nearest_far_dense_and_equal(spark, same):
+    """One point is far from all others, many others share a place, and a grid of whole numbers has many ties."""
+    rng = random.Random(6)
+    spots = [(7.0, 7.0)] * 60 + [(float(rng.randrange(40)), float(rng.randrange(40))) for _ in range(500)] + [(3e5, -2e5), (3e5 + 1, -2e5)] + [(5 + rng.random() / 1e6, 5.0) for _ in range(200)]
+    others = [(k, x, y) for k, (x, y) in enumerate(spots)]
+    points = others if same else [(k, x + 0.5 * (k % 2), y) for k, x, y in others[:300]] + [(5000, 1e7, 1e7), (5001, -4.0, 1e6)]
+    o, p = (spark.createDataFrame(r, "id long, x double, y double") for r in (others, points))
+    assert sorted((r.id, r.other, r.slot) for r in geo.nearest(p, o, 3, 32.0, same).collect()) == _k_nearest(points, others, 3, same)
+
+
+def test_nearest_of_few(spark):
+    o = spark.createDataFrame([(1, 2.0, 3.0), (2, 2.0, 3.0)], "id long, x double, y double")
+    assert sorted((r.id, r.other, r.slot) for r in geo.nearest(o, o, 3, 32.0).collect()) == [(1, 2, 1), (2, 1, 1)]
+    assert geo.nearest(o, o.where("id > 5"), 3, 32.0).count() == 0
+
+
 def test_top_k_in_parts(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(80)]
