@@ -7,6 +7,8 @@ batch is cut into words and hashed by a few numpy calls. A null text counts as a
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -88,6 +90,16 @@ def likely(rows: DataFrame, key: str, values: DataFrame, about: int, name: str)
     return joined.select(*rows.columns, F.expr(f"coalesce(({bit}) = 1, false)").alias(name))
 
 
+def trimmed() -> None:
+    """Gives back to the system what earlier tasks of this Python worker have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def fresh(columns: list[str], name: str) -> str:
     """name, with underscores behind it until none of columns is called so."""
     taken = {c.lower() for c in columns}

@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, buffer_of, hash_spans, slices, table
+from .common import _IS_SPACE, buffer_of, hash_spans, slices, table, trimmed
 
 MAX_TOKENS = 2048
 OPEN_BINS = 2048
 END_ID = 0
 #: Tokens of a share of the packing; the bins open at its end are at most about a hundredth of it.
 SHARE_TOKENS, SHARES = 1 << 25, 1 << 13
+#: Bytes of text that are encoded at once.
+ENCODED_BYTES = 1 << 21
 #: Entries of the cache of encoded words in each Python worker.
 CACHED_WORDS = 1_000_000
 
@@ -94,27 +96,27 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        # Known words by their hashes, in order: plain arrays take a tenth of a dictionary's memory.
+        self.known, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        start, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
         for i in range(0, len(words), 16384):
             ids = self._ids(words[i : i + 16384])
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, k = int(counts.sum()), len(self.slot)
-            while k + len(ids) > len(self.start):
-                self.start, self.count = np.concatenate([self.start] * 2), np.concatenate([self.count] * 2)
+            total = int(counts.sum())
             while self.used + total > len(self.pool):
                 self.pool = np.concatenate([self.pool] * 2)
             self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
-            self.start[k : k + len(ids)] = self.used + np.cumsum(counts) - counts
-            self.count[k : k + len(ids)] = counts
-            self.slot.update(zip(hashes[i : i + 16384], range(k, k + len(ids))))
+            start[i : i + len(ids)] = self.used + np.cumsum(counts) - counts
+            count[i : i + len(ids)] = counts
             self.used += total
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.start, self.count = (np.insert(x, at, y) for x, y in ((self.known, hashes), (self.start, start), (self.count, count)))
 
     def cuts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Where in buf a part begins; parts end at row ends."""
@@ -139,15 +141,17 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(buf))
         uniq, first, inverse = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slot) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS:
             self.clear()
-        keys = uniq.tolist()
-        slot = self.slot
-        new = [k for k, h in enumerate(keys) if h not in slot]
-        if new:
+        at = np.searchsorted(self.known, uniq)
+        there = at < len(self.known)
+        there[there] = self.known[at[there]] == uniq[there]
+        new = np.flatnonzero(~there)
+        if len(new):
             raw = buf.tobytes()
-            self._learn([keys[k] for k in new], [raw[starts[first[k]] : ends[first[k]]].decode("utf-8", "replace") for k in new])
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[inverse]
+            self._learn(uniq[new], [raw[a:z].decode("utf-8", "replace") for a, z in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            at = np.searchsorted(self.known, uniq)
+        slots = at[inverse]
         counts = self.count[slots]
         total = np.concatenate([[0], np.cumsum(counts)])
         ids = self.pool[np.repeat(self.start[slots] - total[:-1], counts) + np.arange(total[-1])]
@@ -173,7 +177,7 @@ def documents_ids(batch: pa.RecordBatch, path: str | None) -> Iterator[tuple[int
     """Row and ids, with the end, of each text of a batch with a column text."""
     buf, offs = buffer_of(batch.column(batch.schema.get_field_index("text")))
     enc = encoder(path or tokenizer_path())
-    for i, j in slices(offs):
+    for i, j in slices(offs, ENCODED_BYTES):
         ids, bounds = enc.encode(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         for k in range(j - i):
             yield i + k, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(END_ID))
@@ -183,6 +187,7 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
     """A row per piece of each document: doc_id, piece, start, length, ids_crc32, and with_ids the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in batches:
             rows: list[tuple] = []
             for row, ids in documents_ids(batch, path):

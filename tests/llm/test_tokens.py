@@ -43,6 +43,23 @@ def test_ids_of_hard_texts(text):
     assert got.tolist() == whole_ids(text).tolist()
 
 
+def test_known_words_take_little_memory():
+    import tracemalloc
+
+    enc = p.Encoder(p.tokenizer_path())
+    n = 60_000
+    buf = np.frombuffer(" ".join(f"w{k}" for k in range(n)).encode(), np.uint8)
+    tracemalloc.start()
+    try:
+        ids, bounds = enc.encode(buf, np.array([0, len(buf)]))
+        again, _ = enc.encode(buf, np.array([0, len(buf)]))
+        assert (ids == again).all() and bounds[-1] == len(ids)
+        del ids, again
+        assert tracemalloc.get_traced_memory()[0] < 80 * n
+    finally:
+        tracemalloc.stop()
+
+
 def test_bins_are_best_fit():
     rng = random.Random(2)
     bins, free = p.Bins(100, 8), []  # free: of the open bins
