@@ -5,9 +5,9 @@ in passes over compact token tables:
 
 1. Texts are cut into words where they are read and written once as blocks: per block of documents
    the distinct words' hashes, and each token as a number into them. Nothing tokenises again.
-2. The frequent words to start with are those that lead in blocks. One word in SAMPLE, by its hash,
-   is counted whole, which tells how many words occur LEAST times; the number of classes grows with
-   the fourth root of that, and of the words to start with (TOP at least) it takes eight times as many.
+2. All words are counted over all training documents, by ranges of hashes. That tells exactly how
+   many occur LEAST times and which are the most frequent; the number of classes grows with the fourth
+   root of the former, and of the words to start with (TOP at least) it takes eight times as many.
 3. Bigrams of these words, and of TAILS groups of all others by their ending, are summed over all
    training documents, and exchange clustering moves one item at a time to the class that most
    increases the average mutual information of neighbouring classes, in sweeps until nothing moves or
@@ -44,14 +44,39 @@ from pyspark.sql import functions as F
 from .common import buffer_of, drop_written, hash_spans, lowered, padded, slices, table, word_spans, written
 
 TOP, TAILS, CLASSES, SWEEPS = 1000, 256, 48, 8
-LEAST, SAMPLE = 5, 64
+LEAST = 5
 DISCOUNT, MASS = 0.7, 20.0
 BLOCK_BYTES = 4 << 20
 BUCKET_WORDS = 1 << 19
 END = np.uint64(0x9D5A3C7712E4B601)
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-BLOCKS = "block long, doc_id array<long>, held array<boolean>, size array<int>, words binary, tails binary, counts binary, order binary, tokens binary"
+BLOCKS = "block long, types long, doc_id array<long>, held array<boolean>, size array<int>, words binary, tails binary, counts binary, order binary, tokens binary"
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of equal lengths as one value, byte by byte of their numbers, so that bytes alike stand together."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in map(np.ascontiguousarray, columns)))
+
+
+def opened(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays of packed()."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return out
+
+
+def steps(words: np.ndarray) -> np.ndarray:
+    """Hashes in order as differences, which are smaller; np.cumsum gives them back."""
+    return np.diff(words, prepend=np.uint64(0)).astype("<u8")
 
 
 def held_out_part(doc_id: int | None, parts: int, part: int) -> bool:
@@ -92,24 +117,40 @@ def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
                 train = np.repeat(~np.array(held, bool), size)
                 counts = np.bincount(tokens[train], minlength=len(uniq))
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([number], pa.int64()), "doc_id": pa.array([ids[i:j]], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "size": pa.array([size.astype(np.int32)], pa.list_(pa.int32())),
-                    "words": pa.array([uniq.astype("<u8").tobytes()], pa.binary()), "tails": pa.array([tails[at].astype("<u2").tobytes()], pa.binary()), "counts": pa.array([counts.astype("<u4").tobytes()], pa.binary()), "order": pa.array([rank.astype("<u4").tobytes()], pa.binary()), "tokens": pa.array([pack.compress(rank[tokens].astype("<u4").tobytes())], pa.binary()),
+                    "block": pa.array([number], pa.int64()), "types": pa.array([len(uniq)], pa.int64()), "doc_id": pa.array([ids[i:j]], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "size": pa.array([size.astype(np.int32)], pa.list_(pa.int32())),
+                    "words": pa.array([uniq.astype("<u8").tobytes()], pa.binary()), "tails": pa.array([packed(tails[at].astype("<u2"))], pa.binary()), "counts": pa.array([packed(counts.astype("<u4"))], pa.binary()), "order": pa.array([packed(rank.astype("<u4"))], pa.binary()), "tokens": pa.array([pack.compress(rank[tokens].astype("<u4").tobytes())], pa.binary()),
                 })
                 number += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, BLOCKS)
 
 
-def _views(batch: pa.RecordBatch, names: dict[str, str]) -> Iterator[tuple]:
+#: Columns of blocks that are packed.
+PACKED = {"tails": "<u2", "counts": "<u4", "order": "<u4", "items": "<u2"}
+
+
+def _views(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
     for k in range(batch.num_rows):
-        yield tuple(np.frombuffer(batch.column(c)[k].as_buffer(), kind) if kind else batch.column(c)[k].as_py() for c, kind in names.items())
+        row = zip(names, (batch.column(c)[k].as_py() for c in names))
+        yield tuple(opened(x, PACKED[c])[0] if c in PACKED else np.frombuffer(x, "<u8") if c == "words" else x for c, x in row)
+
+
+def bucket_width(of: DataFrame) -> int:
+    """How many hashes a bucket of about BUCKET_WORDS entries spans."""
+    total = of.agg(F.sum("types")).first()[0] or 0
+    return (1 << 64) // max(1, -(-total // BUCKET_WORDS)) + 1
+
+
+def bucketed(words: np.ndarray, width: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Where the words, which are in order, of each bucket stand, and the buckets; only those that there are words for."""
+    of_word = (words // np.uint64(width)).astype(np.int64) if width < 1 << 64 else np.zeros(len(words), np.int64)
+    begin = np.flatnonzero(np.append(True, of_word[1:] != of_word[:-1])) if len(words) else np.zeros(0, np.int64)
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(words)])), of_word[begin].tolist()
 
 
 def counted(of: DataFrame, model: Model, least: int) -> DataFrame:
-    """What the buckets answer. kind 0: items and sums of a block's words in a bucket, as data; 1: a class (in bucket) and how many words below the top (word) it got; 2: types (word) and tokens (n) of a tail (in bucket), without words that are items; 3: n of the end and, as word, all types."""
-    total = of.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    buckets = max(1, -(-total // 8 // BUCKET_WORDS))
-    width = (1 << 64) // buckets + 1
+    """What the buckets answer. kind 0: items (data) and sums (counts) of a block's words in a bucket; 1: a class (in bucket) and how many words below the top (word) it got; 2: types (word) and tokens (n) of a tail (in bucket), without words that are items; 3: n of the end and, as word, all types."""
+    width = bucket_width(of)
     shared = of.sparkSession.sparkContext.broadcast(model)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +159,7 @@ def counted(of: DataFrame, model: Model, least: int) -> DataFrame:
         pack, m = zstandard.ZstdCompressor(level=1), shared.value
         c = len(m.step)
         for batch in batches:
-            for block, held, size, words, tails, counts, order, tokens in _views(batch, {"block": None, "held": None, "size": None, "words": "<u8", "tails": "<u2", "counts": "<u4", "order": "<u4", "tokens": None}):
+            for block, held, size, words, tails, counts, order, tokens in _views(batch, ["block", "held", "size", "words", "tails", "counts", "order", "tokens"]):
                 item = items_of(words, tails.astype(np.int64), m.top)
                 back = np.empty(len(order), np.int64)
                 back[order] = np.arange(len(order))
@@ -129,24 +170,22 @@ def counted(of: DataFrame, model: Model, least: int) -> DataFrame:
                 before, after = np.append(m.of[-1], cls[:-1])[at], cls[at + 1]
                 keys, n = np.unique(np.concatenate([word[at] * (2 * c) + before, word[at] * (2 * c) + c + after]), return_counts=True)
                 each = np.bincount(keys // (2 * c), minlength=len(words))
-                # Words are in order, so a bucket's words stand together; only buckets that the block has words for are asked.
-                of_word = words // np.uint64(width) if buckets > 1 else np.zeros(len(words), np.uint64)
-                begin = np.flatnonzero(np.append(True, of_word[1:] != of_word[:-1]))
-                spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(words)]))
-                full = of_word[begin].astype(np.int64)
+                spans, full = bucketed(words, width)
                 first = np.append(0, np.cumsum(each))
-                cut = lambda x, spans=spans: pa.array([x[i:j].tobytes() for i, j in spans], pa.binary())
+                entries = [packed(steps(words[i:j]), tails[i:j], counts[i:j]) for i, j in spans]
                 code, n, each = (keys % (2 * c)).astype("<u2"), n.astype("<u4"), each.astype("<u4")
                 near = [pack.compress(each[i:j].tobytes() + code[first[i] : first[j]].tobytes() + n[first[i] : first[j]].tobytes()) for i, j in spans]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "words": cut(words), "tails": cut(tails), "counts": cut(counts), "near": pa.array(near, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "entries": pa.array(entries, pa.binary()), "near": pa.array(near, pa.binary())})
 
     def answer(rows: pa.Table) -> pa.Table:
         import zstandard
 
         m = shared.value
         c = len(m.step)
-        words, tails, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("words", "<u8"), ("tails", "<u2"), ("counts", "<u4")))
-        sizes = [len(x) // 8 for x in rows.column("words").to_pylist()]
+        parts = [opened(x, "<u8", "<u2", "<u4") for x in rows.column("entries").to_pylist()]
+        sizes = [len(x) for x, _, _ in parts]
+        words, tails, counts = np.concatenate([np.cumsum(x, dtype=np.uint64) for x, _, _ in parts]), *(np.concatenate([x[k] for x in parts]) for k in (1, 2))
+        del parts
         uniq, at, inverse = np.unique(words, return_index=True, return_inverse=True)
         n = np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64)
         ends = np.cumsum(sizes)
@@ -180,26 +219,36 @@ def counted(of: DataFrame, model: Model, least: int) -> DataFrame:
         return pa.table({
             "kind": pa.array([0] * b + kinds, pa.int32()), "block": pa.concat_arrays([rows.column("block").combine_chunks(), pa.nulls(len(kinds), pa.int64())]), "bucket": pa.array([*rows.column("bucket").to_pylist(), *range(c), *range(TAILS), 0], pa.int32()),
             "word": pa.array([0] * b + got.tolist() + types.tolist() + [int((n > 0).sum())], pa.int64()), "n": pa.array([0] * b + [0] * c + tokens.astype(np.int64).tolist() + [int(n.sum())], pa.int64()),
-            "data": pa.array([told[0][z - k : z].tobytes() + told[1][z - k : z].tobytes() for z, k in zip(ends.tolist(), sizes)] + [None] * len(kinds), pa.binary()),
+            "data": pa.array([told[0][z - k : z].tobytes() for z, k in zip(ends.tolist(), sizes)] + [None] * len(kinds), pa.binary()),
+            "counts": pa.array([packed(told[1][z - k : z]) for z, k in zip(ends.tolist(), sizes)] + [None] * len(kinds), pa.binary()),
         })
 
-    asked = of.select("block", "held", "size", "words", "tails", "counts", "order", "tokens").mapInArrow(ask, "bucket int, block long, words binary, tails binary, counts binary, near binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "kind int, block long, bucket int, word long, n long, data binary")
+    asked = of.select("block", "held", "size", "words", "tails", "counts", "order", "tokens").mapInArrow(ask, "bucket int, block long, entries binary, near binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "kind int, block long, bucket int, word long, n long, data binary, counts binary")
 
 
-def frequent(of: DataFrame, share: int) -> DataFrame:
-    """word, n and sampled: the words that are among the share most frequent ones of a block, summed over those blocks, and one in SAMPLE of all others, chosen by its hash, with its whole sum."""
+def frequent(of: DataFrame, share: int, least: int) -> DataFrame:
+    """word and n of all words that occur least times in training documents, and of the share most frequent ones at least, each counted over all blocks."""
+    width = bucket_width(of)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, counts in _views(batch, {"words": "<u8", "counts": "<u4"}):
+            for words, counts in _views(batch, ["words", "counts"]):
                 seen = np.flatnonzero((counts > 0) & (words != END))
-                sampled = words % np.uint64(SAMPLE) == 0
-                best = seen[np.lexsort((words[seen], -counts[seen].astype(np.int64)))[:share]]
-                at = np.union1d(best, seen[sampled[seen]])
-                yield pa.RecordBatch.from_pydict({"word": pa.array(words[at].view(np.int64)), "n": pa.array(counts[at].astype(np.int64)), "sampled": pa.array(sampled[at])})
+                words, counts = words[seen], counts[seen]
+                spans, full = bucketed(words, width)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "entries": pa.array([packed(steps(words[i:j]), counts[i:j]) for i, j in spans], pa.binary())})
 
-    return of.select("words", "counts").mapInArrow(run, "word long, n long, sampled boolean").groupBy("word").agg(F.sum("n").alias("n"), F.first("sampled").alias("sampled"))
+    def answer(rows: pa.Table) -> pa.Table:
+        parts = [opened(x, "<u8", "<u4") for x in rows.column("entries").to_pylist()]
+        uniq, inverse = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x, _ in parts]), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([x for _, x in parts]), minlength=len(uniq)).astype(np.int64)
+        word = uniq.view(np.int64)
+        at = np.union1d(np.lexsort((word, -n))[:share], np.flatnonzero(n >= least))
+        return pa.table({"word": pa.array(word[at]), "n": pa.array(n[at])})
+
+    asked = of.select("words", "counts").mapInArrow(ask, "bucket int, entries binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "word long, n long")
 
 
 def _unpacked(tokens: bytes) -> np.ndarray:
@@ -225,7 +274,7 @@ def bigrams(of: DataFrame, top: np.ndarray) -> DataFrame:
         m = len(top) + TAILS + 1
         sums = np.zeros(m * m, np.int64)
         for batch in batches:
-            for held, size, words, tails, order, tokens in _views(batch, {"held": None, "size": None, "words": "<u8", "tails": "<u2", "order": "<u4", "tokens": None}):
+            for held, size, words, tails, order, tokens in _views(batch, ["held", "size", "words", "tails", "order", "tokens"]):
                 item = np.empty(len(words), np.int64)
                 item[order] = items_of(words, tails.astype(np.int64), top)
                 item = item[_unpacked(tokens)]
@@ -371,17 +420,16 @@ class Full:
 
 
 def told(of: DataFrame, answers: DataFrame) -> DataFrame:
-    """The blocks with items and counts of their words, which are in the order of their numbers. answers: block, bucket, data."""
+    """The blocks with items and counts of their words, which are in the order of their numbers. answers: block, bucket, data, counts."""
 
     def join(rows: pa.Table, told: pa.Table) -> pa.Table:
-        parts = [x for _, x in sorted(zip(told.column("bucket").to_pylist(), told.column("data").to_pylist()))]
-        order = np.frombuffer(rows.column("order")[0].as_buffer(), "<u4")
-        found = []
-        for kind, data in (("<u2", [x[: len(x) // 3] for x in parts]), ("<u4", [x[len(x) // 3 :] for x in parts])):
-            found.append(np.empty(len(order), kind))
-            found[-1][order] = np.frombuffer(b"".join(data), kind)
+        parts = sorted(zip(*(told.column(c).to_pylist() for c in ("bucket", "data", "counts"))))
+        order = opened(rows.column("order")[0].as_py(), "<u4")[0]
+        found = [np.empty(len(order), "<u2"), np.empty(len(order), "<u4")]
+        found[0][order] = np.frombuffer(b"".join(x for _, x, _ in parts), "<u2")
+        found[1][order] = np.concatenate([opened(x, "<u4")[0] for _, _, x in parts])
         out = rows.select(["doc_id", "held", "size", "tokens"])
-        return out.append_column("items", pa.array([found[0].tobytes()], pa.binary())).append_column("counts", pa.array([found[1].tobytes()], pa.binary()))
+        return out.append_column("items", pa.array([packed(found[0])], pa.binary())).append_column("counts", pa.array([packed(found[1])], pa.binary()))
 
     rows = of.select("block", "doc_id", "held", "size", "order", "tokens")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, "doc_id array<long>, held array<boolean>, size array<int>, tokens binary, items binary, counts binary")
@@ -394,7 +442,7 @@ def class_bigrams(of: DataFrame, tail_class: np.ndarray, classes: int, end: int)
         sums = np.zeros(classes * classes, np.int64)
         every = np.append(np.arange(classes), tail_class)
         for batch in batches:
-            for held, size, items, tokens in _views(batch, {"held": None, "size": None, "items": "<u2", "tokens": None}):
+            for held, size, items, tokens in _views(batch, ["held", "size", "items", "tokens"]):
                 cls = every[items][_unpacked(tokens)]
                 train = np.repeat(~np.array(held, bool), size)
                 sums += np.bincount((np.append(end, cls[:-1]) * classes + cls)[train], minlength=len(sums))
@@ -411,7 +459,7 @@ def scored(of: DataFrame, model: Full) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for doc_id, held, size, tokens, item, c in _views(batch, {"doc_id": None, "held": None, "size": None, "tokens": None, "items": "<u2", "counts": "<u4"}):
+            for doc_id, held, size, tokens, item, c in _views(batch, ["doc_id", "held", "size", "tokens", "items", "counts"]):
                 item, c, tokens = item.astype(np.int64), c.astype(np.int64), _unpacked(tokens)
                 base = np.log10((c + 1) / (m.tokens + 1 * (m.types + 1)))
                 cls, word, known = m.classes(item), m.word(item, c), (c > 0).astype(np.int64)
@@ -438,8 +486,9 @@ def class_count(words: int) -> int:
 def class_scores(docs: DataFrame, parts: int = 7, part: int = 2, top_words: int | None = None, classes: int | None = None, least: int = LEAST) -> DataFrame:
     """Scores of all documents by a model of those that are not held out. Words seen least times are items; where top_words or classes are not given they grow with the number of such words."""
     of = written(blocks(docs, parts, part), "blocks")
-    often = written(frequent(of, 4 * (top_words or TOP)), "frequent")
-    classes = classes or class_count(SAMPLE * often.where(F.col("sampled") & (F.col("n") >= least)).count())
+    often = written(frequent(of, top_words or TOP, least), "frequent")
+    freed(of.sparkSession)
+    classes = classes or class_count(often.where(F.col("n") >= least).count())
     top_words = top_words or max(TOP, 8 * classes)
     best = often.orderBy(F.desc("n"), "word").select("word").limit(top_words).collect()
     top = np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
@@ -461,7 +510,7 @@ def class_scores(docs: DataFrame, parts: int = 7, part: int = 2, top_words: int
             types[k], tokens[k] = t, n
         else:
             all_types, all_tokens = t, n
-    full = written(told(of, answers.where("kind = 0").select("block", "bucket", "data")), "told")
+    full = written(told(of, answers.where("kind = 0").select("block", "bucket", "data", "counts")), "told")
     drop_written(of)
     drop_written(answers)
     freed(of.sparkSession)

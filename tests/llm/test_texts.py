@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lindero.llm import brown, langid, pii, quality
@@ -341,3 +342,26 @@ def test_rules_are_measured(spark, none):
 
 def _cascade(text, figures):
     return quality.let(quality.words(text), lambda w: quality.cascade(quality.rules(quality.counts(text, w)), figures))
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        words = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        tails, counts = rng.integers(0, 256, len(words)).astype("<u2"), rng.integers(0, 9, len(words)).astype("<u4")
+        a, b, c = brown.opened(brown.packed(brown.steps(words), tails, counts), "<u8", "<u2", "<u4")
+        assert (np.cumsum(a, dtype=np.uint64) == words).all() and (b == tails).all() and (c == counts).all()
+    # Numbers of few values take less than half of what they are.
+    assert len(brown.packed(rng.integers(0, 200, 5000).astype("<u4"))) < 2 * 5000
+
+
+def test_frequent_words_are_exact(spark, monkeypatch):
+    """A word that leads in no block but is the most frequent of all is among the first, with its whole count."""
+    monkeypatch.setattr(brown, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(brown, "BUCKET_WORDS", 30)
+    docs = spark.createDataFrame([(k, " ".join([f"own{k}x{j} " * 3 for j in range(8)]) + "all all") for k in range(12)], "doc_id long, text string")
+    of = brown.blocks(docs)
+    best = sorted(((r.n, r.word) for r in brown.frequent(of, 1, 5).collect()), reverse=True)
+    h = brown.hash_spans(np.frombuffer(b"all", np.uint8), np.array([0]), np.array([3])).view(np.int64)[0]
+    train = sum(not brown.held_out_part(k, 7, 2) for k in range(12))
+    assert of.count() == 12 and best[0] == (2 * train, h) and all(n == 3 for n, _ in best[1:])
